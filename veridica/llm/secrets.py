@@ -116,6 +116,10 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans", base: str = "b
     return rows.withColumn(out, F.array_sort(F.concat(F.col(base), alone)))
 
 
+def count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def told(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
