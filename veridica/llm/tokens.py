@@ -18,6 +18,7 @@ _SPACE = rb"\x09-\x0d\x20"
 _BYTE_UNITS = re.compile(rb" ?[^" + _SPACE + rb"]+|[" + _SPACE + rb"]+(?![^" + _SPACE + rb"])|[" + _SPACE + rb"]+")
 #: white space beyond ASCII, and the controls that only some engines count as such
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
+MARK = b"<|endoftext|>"
 KEPT = 1 << 19
 
 
@@ -35,33 +36,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
+        self.mark = self.tokenizer.token_to_id(MARK.decode())
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), 0
-        self.bounds: list[int] = [0]
         self.starts = self.sizes = np.zeros(0, dtype=np.int64)
 
-    def _library(self, units: list[bytes]) -> list[list[int]]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
+    def _library(self, text: bytes) -> np.ndarray:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return np.array(encode([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.int64)
 
     def _learn(self, units: set[bytes]) -> None:
+        """Encodes new units, many in one call: a special token between them, which no unit holds, cuts the text."""
         new = list(units)
-        for lo in range(0, len(new), 1 << 14):
-            part = new[lo : lo + (1 << 14)]
-            ids = self._library(part)
-            for u, x in zip(part, ids, strict=True):
-                self.index[u] = len(self.bounds) - 1
-                self.bounds.append(self.bounds[-1] + len(x))
-            got = np.fromiter((i for x in ids for i in x), dtype=np.int64)
+        for lo in range(0, len(new), 1 << 12):
+            part = new[lo : lo + (1 << 12)]
+            ids = self._library(MARK.join([*part, b""]))
+            ends = np.flatnonzero(ids == self.mark)
+            self.index.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
+            sizes = np.diff(ends, prepend=-1) - 1
+            got = ids[ids != self.mark]
             while self.used + len(got) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(got)] = got
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
             self.used += len(got)
-        bounds = np.array(self.bounds)
-        self.starts, self.sizes = bounds[:-1], np.diff(bounds)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids of each text)."""
@@ -71,7 +73,7 @@ class Encoder:
         counts, whole = np.zeros(len(texts), dtype=np.int64), {}
         for i, t in enumerate(texts):
             if _ODD.search(t):
-                whole[i] = np.array(self._library([t])[0], dtype=np.int64)
+                whole[i] = self._library(t)
                 continue
             own = _BYTE_UNITS.findall(t) if self.byte_level else t.split()
             counts[i] = len(own)
