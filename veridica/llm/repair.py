@@ -70,9 +70,9 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, rule
         run = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) != 1]), np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
         new = slot[at]
-        used, new = np.unique(new, return_inverse=True)
+        used = np.bincount(new, minlength=len(chosen)) > 0
         chosen = chosen[used]
-        a[at] = total + new
+        a[at] = (total - 1 + np.cumsum(used))[new]
         keep = np.ones(len(a), dtype=bool)
         keep[at + 1] = False
         a = a[keep]

@@ -16,6 +16,7 @@ import numpy as np
 _SPACE = rb"\x09-\x0d\x20"
 #: byte-level: a space belongs to the word after it; of a longer run of white space the last one stands alone
 _BYTE_UNITS = re.compile(rb" ?[^" + _SPACE + rb"]+|[" + _SPACE + rb"]+(?![^" + _SPACE + rb"])|[" + _SPACE + rb"]+")
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00")
 #: white space beyond ASCII, and the controls that only some engines count as such
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 #: what every match of _ODD holds, found faster
@@ -24,7 +25,14 @@ _HINTS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a", b"\xe
 _TAILED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
 MARK = b"<|endoftext|>"
 #: Units that a worker keeps, about 200 bytes each.
-KEPT = 1_250_000
+KEPT = 1_000_000
+
+
+def _byte_units(text: bytes) -> list[bytes]:
+    """What _BYTE_UNITS finds; where white space is single spaces and line feeds, by splitting."""
+    if any(m in text for m in _RUNS) or text[-1:] == b" ":
+        return _BYTE_UNITS.findall(text)
+    return [u for u in text.replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n\x00").split(b"\x00") if u]
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,7 +111,7 @@ class Encoder:
             if any(m in t for m in _HINTS) and _ODD.search(t):
                 whole[i] = self._library(t)
                 continue
-            own = _BYTE_UNITS.findall(t) if self.byte_level else t.split()
+            own = _byte_units(t) if self.byte_level else t.split()
             counts[i] = len(own)
             units += own
         if new := set(units).difference(self.index):
