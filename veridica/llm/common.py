@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import new_path, saved, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests on one machine, a local folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="veridica-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["as_bytes", "new_path", "saved", "shared_dir", "table"]
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost
-    executor costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_bytes(column: pa.Array) -> Iterator[bytes]:
@@ -44,6 +21,3 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
     for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
         yield x.as_py() or b""
 
-
-def rows_per_task(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
