@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     prints = saved(with_fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], [(words, SEED)]).withColumnRenamed("fp0", "fp"), "simhash")
     own = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "id"), "prints")
-    classes = named(own, links(own.select("id", F.col("id").alias("fp"), F.col("id").alias("chk")), ["fp"], radius))
+    # written first, so that the join with all rows is a plain one, whose hot keys Spark can split
+    classes = saved(named(own, links(own.select("id", F.col("id").alias("fp"), F.col("id").alias("chk")), ["fp"], radius)), "classes")
     return prints.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -223,7 +224,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     fps = [f"fp{i}" for i in range(1, len(kinds))]
     own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), F.first("fp0").alias("chk"), *(F.first(f).alias(f) for f in fps)), "prints")
     classes = named(own.select("id", "least"), links(own.select("id", "chk", *fps), fps, RADIUS, limit))
-    chosen = classes.select(F.col("component_id._h1").alias("_k1"), F.col("component_id._h2").alias("_k2")).distinct()
+    chosen = saved(classes.select(F.col("component_id._h1").alias("_k1"), F.col("component_id._h2").alias("_k2")).distinct(), "kept")
     rows = docs.select(*every, *key)
     kept = rows.join(chosen, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
     return kept.dropDuplicates(["_h1", "_h2"]).select(*every)
