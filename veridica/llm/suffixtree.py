@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, saved
 from .quality import fold
 
-DEPTH, SHARE, DIVERGENCE, PRIOR, LEXICON = 6, 8e-6, 2.0, 2.0, 0.5
-FREQUENT = 4e-6
-SEGMENT, CHUNK, HELD = 512, 4 << 20, 1 << 18
+DEPTH, SHARE, DIVERGENCE, PRIOR, LEXICON = 5, 8e-6, 2.0, 2.0, 0.5
+FREQUENT = 5e-7
+SEGMENT, CHUNK, HELD = 512, 1 << 20, 1 << 18
 END = 10
 #: symbols that a sequence can hold: all bytes but A-Z and the white space that separates
 _POSSIBLE = np.array([b == END or b == 32 or not (9 <= b <= 13 or 65 <= b <= 90) for b in range(256)])
@@ -131,13 +131,18 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def contexts(runs: DataFrame, depth: int = DEPTH, share: float = SHARE, divergence: float = DIVERGENCE) -> DataFrame:
     """``runs``: (key, n), the counts of runs of depth + 1 symbols. Returns (d, ctx, sym, c, total) of kept contexts and of the empty one."""
-    key = F.col("key")
-    cut = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx")) for d in range(depth + 1))))
-    each = runs.select(key.bitwiseAND(F.lit(255)).alias("sym"), "n", cut.alias("x")).groupBy("x.d", "x.ctx", "sym").agg(F.sum("n").alias("c"))
-    each = saved(each.select("d", "ctx", "sym", "c"), "contexts")
-    totals = each.groupBy("d", "ctx").agg(F.sum("c").alias("total"))
-    symbols = totals.where("d = 0").agg(F.max("total")).first()[0] or 0
-    rows = saved(each.join(totals.where(F.col("total") >= share * symbols), ["d", "ctx"]), "contexts")
+    level = runs.select(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym"), F.col("n").alias("c"))
+    levels = {depth: level}
+    for d in reversed(range(depth)):  # each level sums the one above it, which is written and far smaller each time
+        level = saved(level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "sym").agg(F.sum("c").alias("c")), "contexts")
+        levels[d] = level
+    symbols = levels[0].agg(F.sum("c")).first()[0] or 0
+    rows = None
+    for d, level in levels.items():
+        often = level.groupBy("ctx").agg(F.sum("c").alias("total")).where(F.col("total") >= share * symbols)
+        some = level.join(often, "ctx").select(F.lit(d).alias("d"), "ctx", "sym", "c", "total")
+        rows = some if rows is None else rows.union(some)
+    rows = saved(rows, "contexts")
     up = rows.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("up"), "sym", F.col("c").alias("uc"), F.col("total").alias("ut"))
     down = rows.where("d > 0").withColumn("up", F.expr("ctx & (shiftleft(1L, 8 * (d - 1)) - 1)"))
     gain = F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / (F.col("uc") / F.col("ut"))))
@@ -245,12 +250,13 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         from xxhash import xxh64_intdigest
 
         tree, keys, learnt = shared.value
-        counts = dict(zip(keys.tolist(), learnt.tolist(), strict=True))
-        cached: dict[bytes, int] = {}  # -1: not frequent
+        cached: dict[bytes, int] = {}  # counts of frequent words, -1 of others
 
-        def frequent_count(w: bytes) -> int:
-            c = cached[w] = counts.get(xxh64_intdigest(w), -1)
-            return c
+        def look_up(new: list[bytes]) -> None:
+            h = np.fromiter(map(xxh64_intdigest, new), dtype=np.uint64, count=len(new))
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            found = np.where(keys[at] == h, learnt[at], -1) if len(keys) else np.full(len(new), -1)
+            cached.update(zip(new, found.tolist(), strict=True))
 
         for batch in batches:
             lo, size, lines, own_of = 0, 0, [], []
@@ -258,8 +264,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                 line, own = canonical(x)
                 if len(cached) > HELD:
                     cached.clear()
-                for w in set(own).difference(cached):
-                    frequent_count(w)
+                if new := set(own).difference(cached):
+                    look_up(list(new))
                 lines.append(line)
                 own_of.append((own, np.fromiter(map(cached.__getitem__, own), dtype=np.int64, count=len(own))))
                 size += len(line)
