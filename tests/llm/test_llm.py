@@ -565,7 +565,7 @@ def test_pipeline_stages(spark, sf):
     words = [[simhash._fingerprint(s, 1, seed) for s in seq] for seed in simhash.WORD_SEEDS]
     five = [simhash._fingerprint(s, 5, 42) for s in seq]
     share = math.acos(1.6 / 1.8) / math.pi
-    limit = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+    limit = math.ceil(64 * share + (64 * share * (1 - share)) ** 0.5)
     for a in range(len(seq)):
         for b in range(a):
             assert not (any((w[a] ^ w[b]).bit_count() <= 3 for w in words) and (five[a] ^ five[b]).bit_count() <= limit)

@@ -210,11 +210,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     many for an index, but in two or three bits of a fingerprint of their single words. So candidates are rows
     that are within 3 bits in one of three word fingerprints, found by multi-index hashing; they are verified by
     the distance of their shingle fingerprints, which for shares J is expected to be 64 acos(2J / (1 + J)) / pi bits;
-    two standard deviations are added. Null ids come last; of rows that are equal in every column one stays;
+    a standard deviation is added. Null ids come last; of rows that are equal in every column one stays;
     texts without words are one class. Columns are unchanged.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+    limit = int(np.ceil(64 * share + (64 * share * (1 - share)) ** 0.5))
     every = [F.col(f"`{c}`") for c in docs.columns]
     key = [F.xxhash64(*every).alias("_h1"), F.hash(*every).alias("_h2")]
     some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *key, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("_text"))
