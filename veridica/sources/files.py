@@ -129,7 +129,7 @@ def scan_images(spark: SparkSession, root: str, content: bool = False) -> DataFr
     from ..operators.manifest import IMAGE_GLOB
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).load(root)
-    base = F.lit("/" + root.rstrip("/").split("://")[-1].split(":")[-1].strip("/") + "/")
+    base = "/" + root.rstrip("/").split("://")[-1].split(":")[-1].strip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     return files.select(path.alias("path"), *([F.sha2("content", 256).alias("sha256")] if content else []))
 
