@@ -18,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved
+from .common import as_bytes
 
 LOW, HIGH = 0.0005, 0.05
 SUBSETS, LEVELS = 16, 3
 #: Distinct terms that a task counts before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 #: A-Z in lower case; ASCII that is neither letter nor digit parts terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -146,44 +147,53 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", low:
             out.append((key, len(own), hashlib.sha256(data).hexdigest(), fp, fp_new, likeness(fp, fp_new), likeness(fp, fp_next)))
         return out
 
-    def batch_of(found: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-        """edges: (task, place, id, text); place 0 the first row of its task, 1 the last."""
-        n, m = len(found), len(edges)
-        cols = [list(c) + [None] * m for c in zip(*found, strict=True)] if n else [[None] * m for _ in names]
-        extra = [[None] * n + list(c) for c in zip(*edges, strict=True)] if m else [[None] * n for _ in range(4)]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, *extra], kinds, strict=True)], [*names, "task", "place", "edge_id", "edge_text"])
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, last = TaskContext.get().partitionId(), None
+        last = None
         for batch in batches:
-            found, edges = [], []
+            found = []
             for key, own in zip(*batch.columns, strict=True):
                 key, own = key.as_py(), own.as_py()
                 fp = fingerprint(own.encode(), shared.value)
-                if last is None:
-                    edges.append((task, 0, key, own))
-                else:
+                if last is not None:
                     found += rows([(*last, own, fp)])
                 last = (key, own, fp)
-            if found or edges:
-                yield batch_of(found, edges)
-        if last is not None:
-            yield batch_of([], [(task, 1, last[0], last[1])])
+            if found:
+                yield batch_of(found)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [c.to_pylist() for c in batch.columns]
             prints = [[fingerprint(t.encode(), shared.value) for t in cols[i]] for i in (1, 2)]
             found = rows(list(zip(cols[0], cols[1], prints[0], cols[2], prints[1], strict=True)))
-            yield batch_of(found, []).select(names)
+            yield batch_of(found)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last row of the task in order, without sorting: only rows of an extreme id are looked at."""
+        place = lambda r: (r[0] is not None, r[0] or 0, r[1])
+        low = high = None
+        for batch in batches:
+            ids = batch.column(0)
+            for at in {*pc.min_max(ids).as_py().values()} | ({None} if ids.null_count else set()):
+                rows_at = pc.is_null(ids) if at is None else pc.equal(ids, at)
+                for row in zip(*(c.to_pylist() for c in batch.filter(pc.fill_null(rows_at, False)).columns), strict=True):
+                    low = row if low is None or place(row) < place(low) else low
+                    high = row if high is None or place(row) > place(high) else high
+        if low is not None:
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.string()]
+            row = [TaskContext.get().partitionId(), low[1], *high]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["task", "first_text", "doc_id", "text"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = some.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = saved(ordered.mapInArrow(run, _COLS + ", task long, place long, edge_id long, edge_text string"), "imatch")
-    tails, heads = (done.where(f"place = {p}").select("task", "edge_id", "edge_text") for p in (1, 0))
-    # a row for each task that has rows; the window's only partition holds the tasks' numbers, no text
-    after = heads.select("task", F.coalesce(F.lead("task").over(W.orderBy("task")), F.min("task").over(W.partitionBy())).alias("after"))
-    joined = tails.join(after, "task").join(heads.select(F.col("task").alias("after"), F.col("edge_text").alias("next_text")), "after")
-    ends = joined.select("edge_id", "edge_text", "next_text").mapInArrow(close, _COLS)
-    return done.where("place is null").select(*names).union(ends)
+    dealt = some.repartitionByRange(tasks, "doc_id")  # one exchange, which both branches below read
+    most = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, _COLS)
+    # a row for each task that has rows, so the window's one partition is short
+    order = W.orderBy("task")
+    following = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    ends = dealt.mapInArrow(edges, "task int, first_text string, doc_id long, text string").select("doc_id", "text", following.alias("next_text")).mapInArrow(close, _COLS)
+    return most.union(ends)
