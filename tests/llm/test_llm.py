@@ -531,7 +531,7 @@ def test_op9_windows_equal_brute_force(spark):
 def test_op9_method_and_allow_list(spark):
     found = {r.text: secrets_of(r) for r in secrets.scan(rows(spark, SECRETS)).collect()}
     assert [k for k, _ in found[SECRETS[8]]] == ["entropy"] and found[SECRETS[8]][0][1] == "kJ8x2Qp7ZrT5vW1nYb4LmC6d"
-    assert found[SECRETS[7]] == [] and found[SECRETS[6]] == []
+    assert [k for k, _ in found[SECRETS[7]]] == ["hex"] and found[SECRETS[6]] == []  # of low entropy: the base span alone
 
 
 def secrets_of(r):
