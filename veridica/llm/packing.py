@@ -23,7 +23,7 @@ from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text that are encoded at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def pieces(n: int, limit: int) -> list[int]:

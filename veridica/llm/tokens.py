@@ -25,7 +25,7 @@ _HINTS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a", b"\xe
 _TAILED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
 MARK = b"<|endoftext|>"
 #: Units that a worker keeps, about 200 bytes each.
-KEPT = 1_000_000
+KEPT = 600_000
 
 
 def _byte_units(text: bytes) -> list[bytes]:
