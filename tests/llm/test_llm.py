@@ -177,6 +177,45 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_links_block_edits(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    edits = [("replace", 0.05), ("replace", 0.1), ("cut", 0.1), ("cut", 0.15), ("append", 0.1), ("append", 0.2), ("insert", 0.1), ("head", 0.1)]
+    texts, pairs = [], 0
+    for k in range(160):
+        n = int(rng.integers(60, 400))
+        one, new = list(rng.choice(vocabulary, n)), list(rng.choice(vocabulary, n))
+        kind, share = edits[k % len(edits)]
+        m = int(n * share)
+        two = {"replace": one[: n - m] + new[:m], "cut": one[: n - m], "append": one + new[:m], "insert": one[: n // 2] + new[:m] + one[n // 2 :], "head": one[m:]}[kind]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (one, two))
+        near = len(a & b) >= 0.8 * len(a | b)
+        pairs += near
+        texts += [" ".join(one), " ".join(two if near else new)]
+    assert pairs > 120
+    kept = {r.text for r in simhash.keep_one(rows(spark, texts, extra=False)).collect()}
+    assert len(kept) == len(texts) - pairs
+    # a shared half is no near copy
+    half = [" ".join(vocabulary[:200] + vocabulary[i : i + 200]) for i in (300, 600, 900)]
+    assert simhash.keep_one(rows(spark, half, extra=False)).count() == 3
+
+
+def test_shared_shingles_against_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(40, int(rng.integers(1, 40))).astype(np.uint64)) for _ in range(120)]
+    near = [(a, b) for a in range(120) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))]
+
+    def classes(links):
+        root = list(range(120))
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    got = [tuple(x) for x in simhash.shared_shingles(list(range(120)), sets, 0.5).tolist()]
+    assert {(max(x), min(x)) for x in got} <= set(near) and classes(got) == classes(near)
+
+
 # ------------------------------------------------------------ 3
 
 
