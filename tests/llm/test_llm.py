@@ -573,6 +573,25 @@ def test_op9_method_and_allow_list(spark):
     assert [k for k, _ in found[SECRETS[7]]] == ["hex"] and found[SECRETS[6]] == []  # of low entropy: the base span alone
 
 
+def test_op9_finds_short_keys_of_each_class(spark):
+    rng = np.random.default_rng(9)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (low + digits, up + "234567", low + up, low + up + digits, low + up + digits + "+/"):
+        for size in (20, 32):
+            keys = ["".join(rng.choice(list(letters), size)) for _ in range(200)]
+            got = secrets.scan(rows(spark, [f"the {k} of" for k in keys], extra=False)).where(F.size("spans") > 0).count()
+            assert got >= 0.9 * len(keys), (letters, size, got)
+
+
+def test_op9_allow_list_covers_only_what_it_names(spark):
+    key = "kJ8x2Qp7ZrT5vW1nYb4LmC6d"
+    fine = ["123e4567-e89b-12d3-a456-426614174000", "2024-01-01T00-00-00-000Z", "my-example-key-changeme-1", "12345678901234567890123", "AbstractSingletonProxyFactory", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxx1"]
+    texts = [f"https://host/example/{key}", f"é {key}placeholder", *fine]
+    found = {r.text: secrets_of(r) for r in secrets.scan(rows(spark, texts, extra=False)).collect()}
+    assert all(len(found[t]) == 1 and key in found[t][0][1] for t in texts[:2]), found
+    assert [found[t] for t in fine] == [[]] * len(fine)
+
+
 def secrets_of(r):
     return [(secrets.KINDS[s.kind], r.text[s.start : s.end]) for s in r.spans]
 
