@@ -634,6 +634,13 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap(x, 200).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
 
 
+@query()
+def bootstrap_ci_all(spark: SparkSession, d: str) -> DataFrame:
+    """M19, over all images with the operator's own replicates: a test holds it against resampling by brute force."""
+    x = views.beliefs(spark, d).select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("i"), ((F.col("truth") == F.col("predicted")).cast("int") - (F.col("vec_id") % 3 != 0).cast("int")).cast("double").alias("d"))
+    return stats.bootstrap(x).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
+
+
 @query("""
 , d AS (SELECT label AS cluster, (embedding[1] - embedding[2])::DOUBLE AS d FROM embeddings),
 c AS (SELECT row_number() OVER (ORDER BY cluster) - 1 AS i, sum(d) AS s, count(*) AS k FROM d GROUP BY cluster),
