@@ -1,8 +1,9 @@
 """Whole texts to token ids with a public tokenizer file, exactly as the library encodes them.
 
-A text is cut where the tokenizer never merges: at ASCII white space. Each distinct unit is encoded
-once by the library and kept, so that a text is a sequence of look-ups. A text in which a cut could
-matter (other white space next to it, or the string of a special token) goes to the library whole.
+A text is cut where the tokenizer never merges: at ASCII white space. The units of a block of texts are
+found and told apart by array operations; each distinct unit is encoded once by the library and kept, so
+that a text is a sequence of look-ups. A text in which a cut could matter (other white space next to it,
+or the string of a special token) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import pairwise, repeat
 
 import numpy as np
+import pyarrow as pa
 
-_SPACE = rb"\x09-\x0d\x20"
-#: byte-level: a space belongs to the word after it; of a longer run of white space the last one stands alone
-_BYTE_UNITS = re.compile(rb" ?[^" + _SPACE + rb"]+|[" + _SPACE + rb"]+(?![^" + _SPACE + rb"])|[" + _SPACE + rb"]+")
-_RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00")
+#: the white space that separates units, by byte
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: white space beyond ASCII, and the controls that only some engines count as such
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 #: what every match of _ODD holds, found faster
@@ -28,11 +29,14 @@ MARK = b"<|endoftext|>"
 KEPT = 600_000
 
 
-def _byte_units(text: bytes) -> list[bytes]:
-    """What _BYTE_UNITS finds; where white space is single spaces and line feeds, by splitting."""
-    if any(m in text for m in _RUNS) or text[-1:] == b" ":
-        return _BYTE_UNITS.findall(text)
-    return [u for u in text.replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n\x00").split(b"\x00") if u]
+def _printable() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is printable Latin-1, else the next from U+0100 on."""
+    fine = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in fine]
+    return {b: chr(b) for b in fine} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _printable()
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -41,6 +45,34 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def units(texts: list[bytes], byte_level: bool) -> tuple[pa.Array, np.ndarray]:
+    """(all units one after the other, number of units of each text).
+
+    Words are runs without white space. Where white space counts (``byte_level``) a space belongs to the word after it, and of
+    a longer run of white space the last character stands by itself.
+    """
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    space, n = _SPACE[data], len(data)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[bounds] = True
+    begin = edge[:n].copy()
+    if byte_level:
+        begin[1:] |= space[1:] & ~space[:-1]
+        begin[:-1] |= space[:-1] & ~space[1:] & ~edge[1:n]
+        begin[1:] |= ~space[1:] & space[:-1] & (data[:-1] != 32)
+        starts = np.flatnonzero(begin)
+        offsets = np.append(starts, n)
+    else:
+        begin[1:] |= space[:-1]
+        begin &= ~space
+        starts = np.flatnonzero(begin)
+        offsets = np.append((np.cumsum(~space) - 1)[starts], n - np.count_nonzero(space))
+        data = data[~space]
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return parts, np.diff(np.searchsorted(starts, bounds))
+
+
 class Encoder:
     """``byte_level``: white space is kept in tokens (else it only separates them)."""
 
@@ -70,25 +102,34 @@ class Encoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(flat)
 
-    def _learn(self, units: set[bytes]) -> None:
-        """Encodes new units, many in one call: a special token between them, which no unit holds, cuts the text.
+    def _model(self, letters: list[bytes]) -> list[list[int]]:
+        """Ids of units that the tokenizer does not cut any further, by its model alone."""
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(u.decode("latin-1").translate(_LETTERS))] for u in letters]
 
-        A unit of letters and a tail of marks is two units, as no token spans both; where case does not count, the letters
-        are looked up in lower case.
+    def _learn(self, units: list[bytes]) -> None:
+        """Encodes new units. One of letters and a tail of marks is two, as no token spans both; letters, in lower case where
+        case does not count, are one piece for the model. The others go many in one call: a special token between them, which
+        no unit holds, cuts the text.
         """
-        alone, pairs, heads, tails = set(), [], [], []
+        letters, others, pairs, heads, tails = set(), set(), [], [], []
         for u in units:
             if m := _TAILED.fullmatch(u):
-                head = m[1] if self.byte_level else m[1].lower()
+                head = m[1] if self.byte_level else m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
+                letters.add(head)
                 if head != u:
                     pairs.append(u)
                     heads.append(head)
                     tails.append(m[2])
-                    continue
-            alone.add(u)
-        alone.update(heads, tails)
-        alone.discard(b"")
-        new = [u for u in alone if u not in self.index]
+            else:
+                others.add(u)
+        others.update(tails)
+        others.discard(b"")
+        new = [u for u in letters if u not in self.index]
+        if new:
+            ids = self._model(new)
+            self._keep(new, np.array([x for own in ids for x in own], dtype=np.int64), np.array([len(own) for own in ids]))
+        new = [u for u in others if u not in self.index]
         for lo in range(0, len(new), 1 << 12):
             part = new[lo : lo + (1 << 12)]
             ids = self._library(MARK.join([*part, b""]))
@@ -105,25 +146,25 @@ class Encoder:
         """(all ids one after the other, number of ids of each text)."""
         if len(self.index) > KEPT:
             self.forget()
-        units: list[bytes] = []
-        counts, whole = np.zeros(len(texts), dtype=np.int64), {}
-        for i, t in enumerate(texts):
-            if any(m in t for m in _HINTS) and _ODD.search(t):
-                whole[i] = self._library(t)
-                continue
-            own = _byte_units(t) if self.byte_level else t.split()
-            counts[i] = len(own)
-            units += own
-        if new := set(units).difference(self.index):
+        whole = {i: self._library(t) for i, t in enumerate(texts) if any(m in t for m in _HINTS) and _ODD.search(t)}
+        parts, counts = units([b"" if i in whole else t for i, t in enumerate(texts)] if whole else texts, self.byte_level)
+        told = parts.dictionary_encode()
+        _, bounds, data = told.dictionary.buffers()
+        bounds, raw = np.frombuffer(bounds, np.int32, len(told.dictionary) + 1).tolist() if len(parts) else [0], data.to_pybytes() if data else b""
+        distinct = [raw[a:b] for a, b in pairwise(bounds)]
+        found = np.fromiter(map(self.index.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        if len(late := np.flatnonzero(found < 0)):
+            new = [distinct[k] for k in late.tolist()]
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+            found[late] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
+        at = found[told.indices.to_numpy()]
         sizes = self.sizes[at] if len(at) else at
         ids = gather(self.flat, self.starts[at] if len(at) else at, sizes)
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.diff(edges)
         if whole:
-            parts = [whole[i] if i in whole else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
-            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+            each = [whole[i] if i in whole else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+            ids, lengths = np.concatenate(each), np.array([len(p) for p in each])
         return ids, lengths
 
 
