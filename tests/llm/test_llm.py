@@ -325,13 +325,39 @@ def test_op4_odd_rows(spark):
 def test_op6_round_trip(docs):
     ids = np.array([x for d in docs for x in (*d, 0)], dtype=np.uint32)
     counts = np.array([len(d) + 1 for d in docs])
-    s = repair.Shard(repair.image(ids, counts, [None if k == 2 else k for k in range(len(docs))], 5, 0, least=2, rules=3))
+    s = repair.Shard(repair.image(ids, counts, [None if k == 2 else k for k in range(len(docs))], 5, 0, least=2))
     assert s.all_ids().tolist() == ids.tolist() and s.total == len(ids)
     for k, d in enumerate(docs):
         assert s.ids(k).tolist() == [*d, 0]
     assert s.doc_ids == [None if k == 2 else k for k in range(len(docs))]
 
 
+@pytest.mark.parametrize("least", [2, 5, 16])
+def test_op6_ends_where_no_pair_is_frequent(least):
+    rng = np.random.default_rng(least)
+    line = rng.integers(1, 400, 300)
+    skewed = np.minimum(rng.zipf(1.3, 20000), 500)
+    docs = [*([line] * 40), *np.array_split(skewed, 50), np.ones(999, dtype=int), np.zeros(0, dtype=int), *(rng.integers(1, 400, 7) for _ in range(90))]
+    ids, counts = np.concatenate([x for d in docs for x in (d, [0])]), np.array([len(d) + 1 for d in docs])
+    symbols, rules = repair.compress(ids.astype(np.uint32), 501, 0, least)
+    closed = {0} | {501 + k for k, r in enumerate(rules.tolist()) if r[1] == 0}
+    for k, (_, right) in enumerate(rules.tolist()):
+        if right in closed:
+            closed.add(501 + k)
+    left = Counter(p for p in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True) if p[0] not in closed)
+    assert max(left.values(), default=0) < least and len(symbols) < len(ids) / 2
+    s = repair.Shard(repair.image(ids, counts, list(range(len(docs))), 501, 0, least=least))
+    assert s.all_ids().tolist() == ids.tolist() and all(s.ids(k).tolist() == [*d, 0] for k, d in enumerate(docs))
+
+
+def test_op6_slots_that_collide():
+    rng = np.random.default_rng(1)
+    pairs = np.unique(rng.integers(0, 1 << 40, 1 << 19, dtype=np.uint64))
+    keys = np.concatenate([pairs[::3], rng.integers(0, 1 << 40, 1000, dtype=np.uint64)])
+    want = {p: k for k, p in enumerate(pairs.tolist())}
+    assert repair._ranks(keys, pairs).tolist() == [want.get(k, -1) for k in keys.tolist()]
+
+
 def test_op6_contract(spark, sf):
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in queries.op6_repair_shards(spark, sf).collect()}

@@ -1,10 +1,12 @@
 """Token ids in shards compressed by Re-Pair grammars (operator 6).
 
-Documents are dealt out by ranges of doc_id and sorted, so that shards follow each other in ascending
-order. A shard holds whole documents of about ``SHARD`` ids. In each round its frequent pairs of neighbours
-(up to ``RULES`` at once, seen ``LEAST`` times or more) become nonterminals, left to right and without
-overlap, until no pair is frequent or ``ROUNDS`` rounds are done. No pair begins with an end id, so every
-document begins at a symbol of its own.
+Documents are dealt out by ranges of (doc_id, hash of the text) and sorted, so that shards follow each other in
+ascending order. A shard holds whole documents of about ``SHARD`` ids. A round replaces all frequent pairs of
+neighbours, those seen ``LEAST`` times or more, by nonterminals; where two of them overlap, the more frequent one
+goes first. Rounds go on until no pair is frequent: neither rounds nor rules are limited. After the first round only
+pairs with a symbol of the round before are counted, and a count of all pairs ends the work. A pair whose places are
+nearly all taken by others, under half of ``LEAST``, waits for a later round, since its rule would not pay. No pair
+begins with an end id, so every document begins at a symbol of its own.
 
 A shard is one binary image (little-endian)::
 
@@ -33,53 +35,107 @@ from .common import as_bytes, new_path
 from .packing import blocks
 from .tokens import encoder, gather
 
-SHARD, ROUNDS, RULES, LEAST = 1 << 21, 8, 4096, 16
+SHARD, LEAST = 1 << 21, 16
 MAGIC = b"RPG1"
 TABLE = "task long, part long, before long, n_ids long, image binary"
-_MULTIPLIER, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MULTIPLIERS, _SLOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD), 18
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys * _MULTIPLIER >> np.uint64(64 - _SLOTS)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules as (n, 2)). Symbols from ``base`` on are nonterminals."""
-    a, made = ids.astype(np.uint32), []
-    total, closed = base, np.zeros(base + rounds * rules, dtype=bool)
+def _ranks(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Place of each key in ``pairs`` (distinct), -1 if it is not there: by tables of slots, and by search for what no table could take."""
+    rank, left = np.full(len(keys), -1, dtype=np.int32), np.arange(len(pairs), dtype=np.int32)
+    open_ = None  # places of the keys that are not found yet and share a slot with a pair
+    for m in _MULTIPLIERS:
+        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        slot = (pairs[left] * np.uint64(m) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        table[slot] = left
+        lost = left[table[slot] != left]
+        some = keys if open_ is None else keys[open_]
+        got = table[(some * np.uint64(m) >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+        taken = np.flatnonzero(got >= 0)
+        right = pairs[got[taken]] == some[taken]
+        hit = taken[right]
+        rank[hit if open_ is None else open_[hit]] = got[hit]
+        if not len(lost):
+            return rank
+        # a key of a pair that lost its slot meets the winner there
+        open_, left = taken[~right] if open_ is None else open_[taken[~right]], lost
+    order = left[np.argsort(pairs[left])]
+    at = np.minimum(np.searchsorted(pairs[order], keys[open_]), len(order) - 1)
+    right = pairs[order][at] == keys[open_]
+    rank[open_[right]] = order[at[right]]
+    return rank
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of overlapping places (ascending; neighbours differ by 1) those that are replaced: a lower rank goes first, of equal
+    ones every other. What stays overlaps with a chosen one."""
+    chosen = np.zeros(len(at), dtype=bool)
+    left = np.arange(len(at))
+    for _ in range(3):
+        a, r = at[left], rank[left].astype(np.int64)
+        before = np.concatenate([[False], np.diff(a) == 1])
+        after = np.concatenate([before[1:], [False]])
+        worse_before = ~before | (r < np.concatenate([[0], r[:-1]]))
+        worse_after = ~after | (r < np.concatenate([r[1:], [0]]))
+        best = worse_before & worse_after
+        chosen[left[best]] = True
+        near = best | (after & np.concatenate([best[1:], [False]])) | (before & np.concatenate([[False], best[:-1]]))
+        left = left[~near]
+        if not len(left):
+            return chosen
+    a = at[left]
+    run = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(a) != 1]), np.arange(len(a)), 0))
+    chosen[left[(np.arange(len(a)) - run) % 2 == 0]] = True
+    return chosen
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules as (n, 2)). Symbols from ``base`` on are nonterminals; no pair of the result that may be replaced is seen ``least`` (2 or more) times."""
+    least = max(2, least)
+    a, made, total = ids.astype(np.uint32), [], base
+    closed = np.zeros(base + 1, dtype=bool)
     closed[end_id] = True
-    for _ in range(rounds):
-        if len(a) < 2:
-            break
-        keys = a[:-1].astype(np.uint64) << np.uint64(32) | a[1:]
-        keys[closed[a[:-1]]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    places = None  # of pairs that are counted: all, or those with a new symbol
+    while len(a) > 1:
+        first, second = (a[:-1], a[1:]) if places is None else (a[places], a[places + 1])
+        keys = first.astype(np.uint64) << np.uint64(32) | second
+        keys[closed[first]] = _NONE
         ordered = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts, pairs = np.diff(np.append(first, len(ordered))), ordered[first]
-        counts[pairs == np.uint64(0xFFFFFFFFFFFFFFFF)] = 0
-        best = np.flatnonzero(counts >= least)
-        if not len(best):
-            break
-        best = best[np.argsort(-counts[best], kind="stable")[:rules]]
-        _, one = np.unique(_slots(pairs[best]), return_index=True)  # one pair for each slot, the most frequent
-        chosen = pairs[best[np.sort(one)]]
-        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
-        table[_slots(chosen)] = np.arange(len(chosen))
-        slot = table[_slots(keys)]
-        at = np.flatnonzero((slot >= 0) & (chosen[slot] == keys))
-        run = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) != 1]), np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        new = slot[at]
-        used = np.bincount(new, minlength=len(chosen)) > 0
-        chosen = chosen[used]
-        a[at] = (total - 1 + np.cumsum(used))[new]
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts, pairs = np.diff(np.append(edge, len(ordered))), ordered[edge]
+        often = (counts >= least) & (pairs != _NONE)
+        if not often.any():
+            if places is None:
+                break
+            places = None
+            continue
+        counts, pairs = counts[often], pairs[often]
+        pairs = pairs[np.argsort(-counts, kind="stable")]
+        rank = _ranks(keys, pairs)
+        hit = np.flatnonzero(rank >= 0)
+        at, rank = hit if places is None else places[hit], rank[hit]
+        go = _apart(at, rank)
+        at, rank = at[go], rank[go]
+        used = np.bincount(rank, minlength=len(pairs)) * 2 >= least
+        go = used[rank]
+        at, rank = at[go], rank[go]
+        pairs = pairs[used]
+        a[at] = (total - 1 + np.cumsum(used))[rank]
         keep = np.ones(len(a), dtype=bool)
         keep[at + 1] = False
         a = a[keep]
-        rule = np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        rule = np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        if total + len(rule) >= len(closed):
+            closed = np.concatenate([closed, np.zeros(max(len(closed), len(rule)), dtype=bool)])
         closed[total : total + len(rule)] = closed[rule[:, 1]]
         total += len(rule)
         made.append(rule)
+        new = at - np.arange(len(at))  # their places now
+        near = np.zeros(len(a) + 1, dtype=bool)
+        near[new] = near[new - 1] = True  # a place of -1 is the spare one at the end
+        places = np.flatnonzero(near[: len(a) - 1])
     return a, np.concatenate(made) if made else np.zeros((0, 2), dtype=np.uint32)
 
 
@@ -159,7 +215,7 @@ class Shard:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, byte_level: bool, end_id: int, text: str = "text", doc_id: str = "doc_id", tasks: int | None = None, shard: int = SHARD) -> None:
-    """Writes the shards of all rows in ascending (doc_id, text), null ids first, as a Parquet table at ``path``."""
+    """Writes the shards of all rows in ascending (doc_id, hash of the text, text), null ids first, as a Parquet table at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, task, part = encoder(tokenizer, byte_level), TaskContext.get().partitionId(), 0
@@ -188,7 +244,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, byte_level: bool, end_id:
 
     some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     tasks = tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = some.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the rows of one id, or of none, are dealt out by their texts' hash
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = some.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(run, TABLE).write.parquet(path)
 
 
@@ -216,7 +274,7 @@ def read(spark, path: str) -> DataFrame:
 def encode_and_read(docs: DataFrame, tokenizer: str, byte_level: bool, end_id: int, **how) -> DataFrame:
     """Writes ``docs`` to a new table in the shared folder and returns what ``read`` finds there.
 
-    Null and empty texts have the end id alone; repeated rows and ids stay repeated, in the order of their texts;
+    Null and empty texts have the end id alone; repeated rows and ids stay repeated, in the order of the hashes of their texts;
     an empty table gives no rows; further columns are not read.
     """
     path = new_path(docs.sparkSession, "shards")
