@@ -7,15 +7,21 @@ and its Shannon entropy must reach the bound of the candidate's character class.
 window to the end of the last. Words of placeholders end a run, so what stands beside one is a run of its own; runs and
 spans that an allow-list pattern covers whole are left alone, and so are spans inside a base span.
 
-Positions of matches are sums of the lengths of the matches and of the pieces between them, in code points. Patterns
-begin only where a run begins and are possessive, so that a text is read in time proportional to its length.
+Positions of matches are running sums of the lengths of the matches and of the pieces between them, in code points.
+Patterns begin only where a run begins and are possessive, running sums and maxima go block by block, and a window's
+counts are a string of 128 cells of which a step overlays two: a text is read in time near proportional to its length
+and its matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: runs of full length only: within a shorter run no later start could be longer
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}+", r"[0-9a-f]{24,}+"
@@ -35,18 +41,42 @@ ALLOWED = (r"^[0-9_=+/-]+$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9-]+Z?$", r"^[0-9a
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start,end,g>>, g the text of a group; null text: empty."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m")))
-    both = F.zip_with(sizes, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s, g: F.struct(s["p"].alias("p"), s["m"].alias("m"), g.alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,g:string>>").alias("out"))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: inside a lambda an outer expression would be computed for every element."""
+    return F.transform(F.array(x), f)[0]
 
-    def step(s, x):
-        one = F.struct((s["at"] + x["p"]).alias("start"), (s["at"] + x["p"] + x["m"]).alias("end"), x["g"].alias("g"))
-        return F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, zero, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,g:string>>"))
+def _running(values: Column, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For an array of n ints n + 1 results: ``op`` of 0 and all values before each place, and of all. A block's own results
+    come first, so that no step copies more than a block or one entry a block."""
+    none, rows = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+
+    def whole(v):
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block))).otherwise(none)
+        inside = lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+        parts = F.transform(starts, lambda s: inside(F.slice(v, s, F.lit(block))))
+        return F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), rows.alias("out")),
+            lambda s, b: F.struct(op(s["at"], b["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(b["out"], lambda y: op(s["at"], y)))).alias("out")),
+            lambda s: F.concat(F.flatten(s["out"]), F.array(s["at"])))
+
+    return _let(values, whole)
+
+
+def _matches(text: Column, pattern: str, group: int = 0, length: Callable[[Column], Column] = F.char_length) -> Column:
+    """array<struct<start,end,g>>, g the text of a group; null text: empty. ``length`` measures: code points or bytes."""
+
+    def placed(x):
+        sizes = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), x["found"], lambda p, m: F.struct(length(p).alias("p"), length(m).alias("m")))
+        return _let(sizes, lambda z: F.zip_with(
+            F.zip_with(z, F.slice(_running(F.transform(z, lambda s: s["p"] + s["m"]), lambda a, b: a + b), F.lit(1), F.size(z)), lambda s, r: F.struct((r + s["p"]).alias("start"), (r + s["p"] + s["m"]).alias("end"))),
+            x["groups"], lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), g.alias("g"))))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None).cast("array<string>")
+    parts = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces"), groups.alias("groups"))
+    parts = parts if group else _let(parts, lambda x: F.struct(x["found"].alias("found"), x["pieces"].alias("pieces"), x["found"].alias("groups")))
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,g:string>>"))
 
 
 def _spans(matches: Column, kind: str) -> Column:
@@ -62,37 +92,54 @@ def windows(text: Column, bound: Column, window: int = WINDOW) -> Column:
     """struct<first,last>: starts of the first and last window whose entropy reaches ``bound``; -1 if none does.
 
     ``text``: ASCII, at least one window long. For counts c of a window of w characters the entropy is
-    log2 w - sum(c log2 c) / w; the sum changes by two terms a step.
+    log2 w - sum(c log2 c) / w; the sum changes by two terms a step, and so do the counts, cells of a string.
     """
-    codes = F.transform(F.split(text, ""), F.ascii)
-    first = F.slice(codes, 1, window)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.size(F.filter(first, lambda x: x == k)))
-    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + _g(c))
-    least = F.lit(float(window)) * (F.log2(F.lit(float(window))) - bound) + 1e-9  # the sum that still reaches the bound
-    state = F.struct(codes.alias("codes"), counts.alias("counts"), total.alias("sum"), least.alias("least"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    state = F.transform(F.array(state), lambda s: s.withField("first", F.when(s["sum"] <= s["least"], 0).otherwise(-1)).withField("last", F.when(s["sum"] <= s["least"], 0).otherwise(-1)))[0]
-
-    def step(s, i):
-        out, into = F.get(s["codes"], i - 1), F.get(s["codes"], i + window - 1)
-        lost, won = F.get(s["counts"], out), F.get(s["counts"], into)
-        change = F.when(out == into, F.lit(0.0)).otherwise(_g(lost - 1) - _g(lost) + _g(won + 1) - _g(won))
-        counts = F.transform(s["counts"], lambda c, k: c - F.when(k == out, 1).otherwise(0) + F.when(k == into, 1).otherwise(0))
-        now = s["sum"] + change
-        hit = now <= s["least"]
-        return F.struct(s["codes"].alias("codes"), counts.alias("counts"), now.alias("sum"), s["least"].alias("least"), F.when(hit & (s["first"] < 0), i).otherwise(s["first"]).alias("first"), F.when(hit, i).otherwise(s["last"]).alias("last"))
-
-    more = F.char_length(text) - window
-    steps = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-
-
-def base_spans(text: Column) -> Column:
-    assign = F.filter(_matches(text, ASSIGN, 2), lambda m: F.char_length(m["g"]) >= 6)
-    every = F.concat(_spans(assign, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
+    base = 48  # a count c is the character of code 48 + c
+
+    def read(cells, code):
+        return F.ascii(F.substring(cells, code + 1, 1)) - base
+
+    def put(cells, code, c):
+        return F.overlay(cells, F.char(c + base), code + 1)
+
+    def step(s, x):
+        # nothing here holds the text, as a step copies what it makes
+        def moved(n):
+            cells = put(put(s["cells"], x["out"], n["lost"] - 1), x["into"], n["won"] + 1)
+            total = s["sum"] + _g(n["lost"] - 1) - _g(n["lost"]) + _g(n["won"] + 1) - _g(n["won"])
+            same = x["out"] == x["into"]
+            return F.struct(F.when(same, s["cells"]).otherwise(cells).alias("cells"), F.when(same, s["sum"]).otherwise(total).alias("sum"))
+
+        def seen(m):
+            i, hit = s["i"] + 1, m["sum"] <= s["least"]
+            return F.struct(i.alias("i"), m["cells"].alias("cells"), m["sum"].alias("sum"), s["least"].alias("least"), F.when(hit & (s["first"] < 0), i).otherwise(s["first"]).alias("first"), F.when(hit, i).otherwise(s["last"]).alias("last"))
+
+        return _let(_let(F.struct(read(s["cells"], x["out"]).alias("lost"), read(s["cells"], x["into"]).alias("won")), moved), seen)
+
+    def begun(codes):
+        first = F.slice(codes, 1, window)
+        cells = F.aggregate(first, F.lit(chr(base) * 128), lambda s, x: put(s, x, read(s, x) + 1))
+        total = _let(first, lambda f: F.aggregate(f, F.lit(0.0), lambda s, x: s + F.log2(F.size(F.filter(f, lambda y: y == x)).cast("double"))))
+        # the sum that still reaches the bound
+        least = F.lit(float(window)) * (F.log2(F.lit(float(window))) - bound) + 1e-9
+        return _let(F.struct(cells.alias("cells"), total.alias("sum"), least.alias("least"), F.when(total <= least, 0).otherwise(-1).alias("at")), lambda s: F.struct(F.lit(0).alias("i"), s["cells"].alias("cells"), s["sum"].alias("sum"), s["least"].alias("least"), s["at"].alias("first"), s["at"].alias("last")))
+
+    def followed(codes):
+        more = F.size(codes) - window
+        moves = F.zip_with(F.slice(codes, F.lit(1), more), F.slice(codes, F.lit(window + 1), more), lambda a, b: F.struct(a.alias("out"), b.alias("into")))
+        return F.aggregate(moves, begun(codes), step, lambda z: F.struct(z["first"].alias("first"), z["last"].alias("last")))
+
+    return _let(F.transform(F.filter(F.split(text, ""), lambda x: x != ""), F.ascii), followed)
+
+
+def base_spans(text: Column, length: Callable[[Column], Column] = F.char_length) -> Column:
+    assign = F.filter(_matches(text, ASSIGN, 2, length), lambda m: F.char_length(m["g"]) >= 6)
+    every = F.concat(_spans(assign, "assign"), _spans(_matches(text, ACCESS, length=length), "access"), _spans(_matches(text, HEX, length=length), "hex"))
     return F.array_sort(every.cast(_SPANS))
 
 
-def entropy_spans(text: Column, bounds: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED) -> Column:
+def entropy_spans(text: Column, bounds: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED, length: Callable[[Column], Column] = F.char_length) -> Column:
+    """Spans of the method in the order of their starts; null and empty texts have none. They never overlap each other."""
     bounds = bounds or BOUNDS
 
     def fine(text):
@@ -111,22 +158,33 @@ def entropy_spans(text: Column, bounds: dict[str, float] | None = None, allowed:
             bound = F.when(m["g"].rlike(CLASSES[kind]), bounds[kind]).otherwise(bound)
         return F.struct(m["start"].alias("at"), m["g"].alias("g"), windows(m["g"], bound).alias("w"))
 
-    found = F.filter(F.transform(F.filter(_matches(text, CANDIDATE), keep), hit), lambda h: h["w"]["first"] >= 0)
+    found = F.filter(F.transform(F.filter(_matches(text, CANDIDATE, length=length), keep), hit), lambda h: h["w"]["first"] >= 0)
     hits = F.filter(found, lambda h: fine(F.substring(h["g"], h["w"]["first"] + 1, h["w"]["last"] - h["w"]["first"] + WINDOW)))
     spans = F.transform(hits, lambda h: F.struct((h["at"] + h["w"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (h["at"] + h["w"]["last"] + WINDOW).alias("end")))
     return spans.cast(_SPANS)
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "spans", base: str = "base_spans", **how) -> DataFrame:
+def _alone(base: Column, found: Column) -> Column:
+    """All of ``base``, and of ``found`` those inside none of them, in order. Of base spans that begin no later the furthest end tells."""
+
+    def whole(every):
+        ends = _running(F.transform(every, lambda s: F.when(s["kind"] < F.lit(3), s["end"]).otherwise(F.lit(0))), F.greatest)
+        pairs = F.zip_with(every, F.slice(ends, F.lit(1), F.size(every)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+        return F.transform(F.filter(pairs, lambda p: (p["s"]["kind"] < F.lit(3)) | (p["e"] < p["s"]["end"])), lambda p: p["s"])
+
+    return F.when((F.size(base) > 0) & (F.size(found) > 0), _let(F.array_sort(F.concat(base, found)), whole)).otherwise(F.array_sort(F.concat(base, found)))
+
+
+def scan(docs: DataFrame, text: str = "text", out: str = "spans", base: str = "base_spans", length: Callable[[Column], Column] = F.char_length, **how) -> DataFrame:
     """Adds ``base``, the spans of the patterns, and ``out``, all spans: arrays of (start, kind, end), sorted.
 
-    kind is a place in ``KINDS``; positions are code points from 0, the end exclusive. Null and empty texts have
-    none; other columns and repeated rows stay as they are.
+    kind is a place in ``KINDS``; positions are code points from 0 (with ``length`` octet_length: bytes), the end exclusive.
+    Null and empty texts have none; other columns and repeated rows stay as they are; an empty table gives no rows. A column
+    that is named as ``out`` or ``base`` is replaced, as is said by naming it.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.withColumn(base, base_spans(whole)).withColumn(out, entropy_spans(whole, **how))
-    alone = F.filter(F.col(out), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    return rows.withColumn(out, F.array_sort(F.concat(F.col(base), alone)))
+    rows = docs.withColumn(base, base_spans(whole, length)).withColumn(out, entropy_spans(whole, length=length, **how))
+    return rows.withColumn(out, _alone(F.col(f"`{base}`"), F.col(f"`{out}`")))
 
 
 def count(spans: Column, kind: str) -> Column:
@@ -140,16 +198,24 @@ def told(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, text: str = "text", sign: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``sign`` (overlapping spans by one); columns else unchanged, null texts null."""
+    """``docs`` with every span replaced by ``sign`` (overlapping spans by one); columns else unchanged, whatever their names;
+    null texts stay null, empty ones empty; repeated rows stay; an empty table gives no rows."""
     names = docs.columns
-    rows = scan(docs, text, "_spans", "_base")
+    spans, base = unused(names, "_spans", "_base")
+    rows = scan(docs, text, spans, base, length=F.octet_length)
     whole = F.col(f"`{text}`")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s, x):
-        gap = F.concat(s["out"], F.substring(whole, s["at"] + 1, x["start"] - s["at"]), F.lit(sign))
-        return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), gap.alias("out")))
+    def done(x):
+        # a span begins a sign if it begins where all before it have ended; pieces are cut from bytes, whose places need no reading
+        ends = _running(F.transform(x["spans"], lambda s: s["end"]), F.greatest)
+        last = lambda e: F.decode(F.substring(x["data"], F.element_at(e, -1) + 1, F.lit(2147483647)), "UTF-8")
+
+        def joined(e):
+            pairs = F.zip_with(x["spans"], F.slice(e, F.lit(1), F.size(x["spans"])), lambda s, m: F.struct(m.alias("from"), s["start"].alias("to")))
+            gaps = F.transform(F.filter(pairs, lambda p: p["to"] >= p["from"]), lambda p: F.decode(F.substring(x["data"], p["from"] + 1, p["to"] - p["from"]), "UTF-8"))
+            return F.array_join(F.concat(gaps, F.array(last(e))), sign)
+
+        return _let(ends, joined)
 
-    done = F.aggregate("_spans", zero, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.lit(2147483647))))
-    masked = F.when(F.size("_spans") > 0, done).otherwise(whole)
+    masked = F.when(F.size(F.col(spans)) > 0, _let(F.struct(F.col(spans).alias("spans"), F.encode(whole, "UTF-8").alias("data")), done)).otherwise(whole)
     return rows.withColumn(text, masked).select(*(F.col(f"`{c}`") for c in names))
