@@ -475,6 +475,23 @@ def test_op8_targets(spark):
         assert got == {s: pytest.approx(t, abs=1e-6) for s, t in want.items()}
 
 
+def test_op8_copies_against_brute_force(spark, sf):
+    got = sampling.copies(table(spark, sf, "documents")).collect()
+    sizes = {i: len(WORD.findall(t or "")) for i, t, _ in documents(sf)}
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    assert len(got) == len(sizes)
+    for source, rs in by.items():
+        u = int(hashlib.md5(f"mix:offset:{source or 'null'}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = rs[0].target / rs[0].source_size
+        order = sorted(rs, key=lambda r: (r.size, hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()))
+        for k, r in enumerate(order):
+            assert r.size == sizes[r.doc_id] and r.copies == math.floor(u + (k + 1) * rate) - math.floor(u + k * rate)
+        # a systematic sample in this order stays within its longest document or two of the target
+        assert abs(sum(r.size * r.copies for r in rs) - rs[0].target) <= 3 * max(r.size for r in rs)
+
+
 def test_op8_odd_rows(spark):
     assert sampling.copies(empty(spark)).count() == 0 and sampling.mix(empty(spark)).count() == 0
     d = doubled(spark)

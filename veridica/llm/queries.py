@@ -98,15 +98,10 @@ r AS (
   SELECT d.source, d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.key) - 1 AS DOUBLE) AS rank
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-w AS (
-  SELECT source, target, (k + 0.5) / 32 AS u,
-         sum(CAST(size * (floor((k + 0.5) / 32 + (rank + 1) * rate) - floor((k + 0.5) / 32 + rank * rate)) AS BIGINT)) AS words
-  FROM r, range(32) x(k) GROUP BY source, target, k),
 o AS (
-  SELECT source, u FROM (SELECT source, u, row_number() OVER (PARTITION BY source ORDER BY abs(words - target), u) AS n FROM w) WHERE n = 1)
-SELECT r.doc_id, r.size, r.source_size, r.target,
-       CAST(r.size * (floor(o.u + (rank + 1) * rate) - floor(o.u + rank * rate)) AS BIGINT) AS taken
-FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source""",
+  SELECT *, CAST('0x' || substr(md5('mix:offset:' || coalesce(source, 'null')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM r)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(u + (rank + 1) * rate) - floor(u + rank * rate)) AS BIGINT) AS taken
+FROM o""",
     "op10_exact_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
