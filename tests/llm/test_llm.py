@@ -555,6 +555,76 @@ def test_op5_types_stay():
     assert pii.replaced(text, pii.Cipher(b"other"))[0] != new
 
 
+def test_op5_letters_of_any_script_move():
+    c = pii.Cipher(b"key")
+    for text in ("Dr 李明", "Herr Łódź Čapek", "Mr Ōe", "Frau Ñandú", "госпожа Ёлкина", "Prof אברהם", "Dr नरेश"):
+        (kind, entity, new), = pii.replaced(text, c)[1]
+        assert kind == "person" and len(new) == len(entity) and entity == text.split(" ", 1)[1]
+        letters = [(a, b) for a, b in zip(entity, new, strict=True) if a.isalpha()]
+        assert any(a != b for a, b in letters) and all(b.isalpha() and a.isupper() == b.isupper() for a, b in letters)
+
+
+def test_op5_names_corefer_and_leave_other_words():
+    c = pii.Cipher(b"key")
+    text = "Mr John Smith met Ms Anna Brown. Mr Smith and Herr Müller and Smith, SMITH or John Smith went; smith stays. Mr Brown? Dr in. Frau Dr Weiss."
+    new, made = pii.replaced(text, c)
+    got = dict((a, b) for _, a, b in made)
+    given, family = got["John Smith"].split()
+    assert got["Smith"] == family and got["SMITH"] == family.upper() and got["Anna Brown"].split()[1] == got["Brown"]
+    assert given.lower() in pii.NAMES[0] and got["Anna Brown"].split()[0].lower() in pii.NAMES[1] and family.lower() in pii.NAMES[2]
+    gap = re.sub("|".join(re.escape(x) for x in sorted(got.values(), key=len, reverse=True)), "#", new)
+    assert gap == "Mr # met Ms #. Mr # and Herr # and #, # or # went; smith stays. Mr #? Dr in. Frau Dr #."
+    words = {w: pii.name(w, c) for w in ("Smith", "Jones", "Xavia", "Xavio", "Quentin", "Zed", "Ada", "Bea", "Bob")}
+    assert len(set(words.values())) == len(words) and all(w != n for w, n in words.items())
+    assert all((w[-1] in "ae") == (n[-1] in "ae") for w, n in words.items() if w.lower() not in pii._LISTED)
+
+
+def test_op5_names_of_one_shape_are_permuted():
+    c = pii.Cipher(b"k")
+    every = [a + b + d for a in "bdg" for b in "aeiouy" for d in "bcdfghjklmnpqrstvwxz"]
+    made = [pii.name(w, c) for w in every]
+    assert len(set(made)) == len(every) and not set(made) & set(pii._LISTED)
+
+
+def test_op5_phones_by_country_not_by_format():
+    c = pii.Cipher(b"key")
+    one = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "555-123-4567", "(555) 123-4567", "555.123.4567"]
+    new = [pii.replaced(f"call {x}.", c)[1][0][2] for x in one]
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new}) == 1 and new[0].startswith("+1 ") and re.fullmatch(r"\d{3}-\d{3}-\d{4}", new[3])
+    assert [pii.calling_code(x) for x in ("4930123456", "15551234567", "35312345678", "79161234567")] == ["49", "1", "353", "7"]
+    digits = [f"+49 30 {k:06d}" for k in range(3000)]
+    assert len({pii.surrogate("phone", x, c) for x in digits}) == 3000
+
+
+def test_op5_iban_check_digits():
+    c = pii.Cipher(b"key")
+    for text in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE88 3704 0044 0532 0130 00"):
+        (kind, _, new), = pii.replaced(text, c)[1]
+        assert kind == "iban" and new[:2] == text[:2] and (pii._mod97(new.replace(" ", "")) == 1) == (pii._mod97(text.replace(" ", "")) == 1) and len(new) == len(text)
+    assert pii.surrogate("iban", "DE89370400440532013000", c) == pii.surrogate("iban", "DE89 3704 0044 0532 0130 00", c).replace(" ", "")
+
+
+def test_op5_entities_of_any_length():
+    c = pii.Cipher(b"key")
+    long = "ab1" * 400_000 + "@mail.example.org"
+    began = time.perf_counter()
+    for text in (long, "x" * 240 + "@example.org", "Mr " + "Q" * 1_000_000):
+        new, made = pii.replaced(text, c)
+        assert len(made) == 1 and made[0][2] != made[0][1] and (len(new) - len(text)) in (0, len(".example"))
+    assert time.perf_counter() - began < 60
+    near = ["a" * k + "b" + "a" * (99 - k) + "@x.org" for k in range(100)]
+    assert len({pii.surrogate("email", x, c) for x in near}) == 100
+
+
+def test_op5_watch_raises():
+    w = pii.Watch()
+    w.see("email", "a@b.org", "c@d.org.example")
+    w.see("email", "A@b.org", "C@d.org.example")
+    for entity, new in (("e@b.org", "c@d.org.example"), ("a@b.org", "z@d.org.example"), ("q@b.org", "Q@b.org")):
+        with pytest.raises(ValueError):
+            w.see("email", entity, new)
+
+
 def test_op5_rows(spark, sf):
     assert pii.replace(empty(spark), b"k").count() == 0
     got = pii.replace(doubled(spark), b"k").collect()
