@@ -26,14 +26,18 @@ def test_bootstrap_takes_all_rows_and_replicates(spark, sf):
 
     import numpy as np
 
+    from veridica.operators.stats import POISSON
     from veridica.sources import views
 
-    rows = views.beliefs(spark, sf).select("vec_id", "truth", "predicted").orderBy("vec_id").collect()
+    rows = views.beliefs(spark, sf).select("vec_id", "truth", "predicted").collect()
     d = np.array([float(r.truth == r.predicted) - float(r.vec_id % 3 != 0) for r in rows])
     assert len(d) > 300
-    means = np.array([d[[int(hashlib.md5(f"42-{r}-{j}".encode()).hexdigest()[:8], 16) % len(d) for j in range(len(d))]].mean() for r in range(1000)]).round(9)
+    draws = np.array([[int(hashlib.md5(f"42-{k}-{r.vec_id}".encode()).hexdigest()[:8], 16) for r in rows] for k in range(1000)])
+    w = np.searchsorted(POISSON, draws, side="right")
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    means = ((w * d).sum(axis=1) / w.sum(axis=1)).round(9)
     want = (d.mean(), *np.quantile(means, [0.025, 0.975]), min(1, 2 * min((means <= 0).mean(), (means >= 0).mean())))
-    assert tuple(QUERIES["bootstrap_ci_all"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
+    assert tuple(QUERIES["bootstrap_ci"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
 
 
 def test_stream_equals_the_fold_at_rest(spark, sf):

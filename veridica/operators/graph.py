@@ -1,7 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two equi-joins; the table of links is written to the shared
-folder between rounds. Nothing is collected but one row of totals a round.
+folder between rounds. Nothing is collected but one row of totals a round. A node with so many links
+that it would fill a good part of a task (of such nodes there are at most ``HOT`` times the tasks)
+meets its least neighbour by a broadcast, so its links stay where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import saved
 
 
+#: A node is hot from this part of a task's mean links on: 1 / HOT.
+HOT = 4
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``links``: two bigint columns. Returns (node, root) for every node of a link, root = least node.
 
@@ -26,9 +32,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "star")
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = least.where(F.col("n") >= max(64, 2 * now[0] // (HOT * tasks))).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+        marked = both.where("v > u").join(F.broadcast(hot), F.col("u") == F.col("h"), "left")
+        rest = marked.where("h is null").select("u", "v").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = marked.where("h is not null").select(F.col("v").alias("u"), F.col("hm").alias("v")).union(rest)
+        large = saved(large.distinct(), "star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         edges = saved(small.distinct(), "star")

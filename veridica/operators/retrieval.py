@@ -19,22 +19,30 @@ from ..schema import GENERAL_TOPIC
 K1, B, K0 = 1.5, 0.75, 60
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl). Documents without tokens have no posting."""
-    t = chunks.select(key, X.tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    return t.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", F.col("dl").cast("long").alias("dl"))
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``carry``, term, tf, dl). Documents without tokens have no posting. ``terms``: (term), the only ones wanted; tokens are cut
+    down to them before anything is exchanged."""
+    keys = [key, *carry]
+    t = chunks.select(*keys, X.tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t")).select(*keys, "dl", F.explode("_t").alias("term"))
+    t = t if terms is None else t.join(terms, "term", "left_semi")
+    return t.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
 def doc_stats(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     return chunks.select(key, F.size(X.tokens(F.col(text))).cast("long").alias("dl"))
 
 
-def term_stats(posts: DataFrame, documents: DataFrame, variant: str = "plus_one") -> DataFrame:
-    """(term, df, idf). variant "plus_one": ln(1 + (N - df + .5) / (df + .5)); "classic": without the 1 +."""
-    n = documents.agg(F.count("*").alias("n"))
+def term_stats(posts: DataFrame, documents: DataFrame, variant: str = "plus_one", epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf). variant "plus_one": ln(1 + (N - df + .5) / (df + .5)); "classic": without the 1 +; "floored": classic, but
+    negative ones are ``epsilon`` times the mean idf of the terms given. ``documents``: rows, or a column n of their number."""
+    n = documents.select("n") if "n" in documents.columns else documents.agg(F.count("*").alias("n"))
     ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.ln(1 + ratio) if variant == "plus_one" else F.ln(ratio)
-    return posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", idf.alias("idf"))
+    found = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", idf.alias("idf"))
+    if variant != "floored":
+        return found
+    mean = found.agg((epsilon * F.avg("idf")).alias("floor"))
+    return found.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -42,30 +50,38 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, bm25) of documents that share a term with the query; scores rounded to 6 digits so that ties are
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", variant: str = "plus_one", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, key, ``carry``, bm25) of documents that share a term with the query; scores rounded to 6 digits so that ties are
     the same on every engine."""
-    posts = postings(chunks, key)
-    lengths = doc_stats(chunks, key)
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
     terms = query_terms(queries)
-    # statistics of the queries' terms only: the postings are cut down before their shuffle
-    hit = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    stats = term_stats(hit, lengths)
+    whole = doc_stats(chunks, key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    hit = postings(chunks, key, terms=terms.select("term").distinct(), carry=carry)
+    stats = term_stats(hit, whole, variant)
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(stats, "term").join(terms, "term").join(F.broadcast(mean))
-    return scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("bm25"))
+    scored = hit.join(stats, "term").join(terms, "term").join(F.broadcast(whole))
+    return scored.groupBy("query_id", key, *carry).agg(F.round(F.sum(part), 6).alias("bm25"))
+
+
+def allowed(chunks: DataFrame, queries: DataFrame, general: str = GENERAL_TOPIC) -> DataFrame:
+    """``queries`` and ``allowed``, the topics that a query may return: its own and the general one; without any chunk of its
+    own the general one; null, which is all, without that as well."""
+    have = chunks.groupBy(F.col("topic").alias("_topic")).agg(F.count("*").alias("_n"))
+    exact = queries.join(have, F.col("topic") == F.col("_topic"), "left").drop("_topic")
+    has_general = have.where(F.col("_topic") == general).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_g"))
+    none, own = F.coalesce("_n", F.lit(0)) == 0, F.array("topic", F.lit(general))
+    return exact.join(F.broadcast(has_general)).withColumn("allowed", F.when(none & (F.col("_g") == 0), F.lit(None)).when(none, F.array(F.lit(general))).otherwise(own)).drop("_n", "_g")
+
+
+def _open(topic: str) -> Column:
+    return F.col("allowed").isNull() | F.array_contains("allowed", F.col(topic))
 
 
 def eligible(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", general: str = GENERAL_TOPIC) -> DataFrame:
-    """(query_id, key) of chunks that a query of a topic may return: its topic and the general one; without any of its
-    topic the general one; without that all."""
-    have = chunks.groupBy("topic").agg(F.count("*").alias("n"))
-    exact = queries.join(have, "topic", "left").select("query_id", "topic", F.coalesce("n", F.lit(0)).alias("exact"))
-    has_general = have.where(F.col("topic") == general).agg(F.coalesce(F.max("n"), F.lit(0)).alias("general"))
-    q = exact.join(F.broadcast(has_general)).select("query_id", F.when((F.col("exact") == 0) & (F.col("general") == 0), F.lit(None)).when(F.col("exact") == 0, F.array(F.lit(general))).otherwise(F.array("topic", F.lit(general))).alias("allowed"))
-    return chunks.select(key, F.col("topic").alias("chunk_topic")).join(F.broadcast(q), F.col("allowed").isNull() | F.array_contains("allowed", F.col("chunk_topic"))).select("query_id", key)
+    """(query_id, key) of all chunks that a query of a topic may return. Rankings do not make this table: they test ``allowed``."""
+    q = allowed(chunks, queries, general).select("query_id", F.explode_outer("allowed").alias("_topic"))
+    c = chunks.select(key, "topic")
+    return c.join(q, F.col("_topic").isNull() | (F.col("topic") == F.col("_topic"))).select("query_id", key).distinct()
 
 
 def ranked(scores: DataFrame, score: str, depth: int | None, out: str, by: str = "query_id", key: str = "chunk_id", ties: list[Column] | None = None) -> DataFrame:
@@ -76,9 +92,21 @@ def ranked(scores: DataFrame, score: str, depth: int | None, out: str, by: str =
 
 
 def bm25_top(chunks: DataFrame, queries: DataFrame, depth: int = 50, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, bm25, bm25_rank): the best eligible chunks, those without a common term at score 0 included."""
-    scored = eligible(chunks, queries, key).join(bm25(chunks, queries, key), ["query_id", key], "left")
-    return ranked(scored.na.fill(0.0, ["bm25"]), "bm25", depth, "bm25_rank", key=key)
+    """(query_id, key, bm25, bm25_rank): the best eligible chunks, those without a common term at score 0 included.
+
+    Scores come from postings alone. Places that they leave empty go to the first keys of the allowed topics; ``depth`` keys a
+    topic are enough for that, as a query with fewer than ``depth`` scored chunks finds enough others among them.
+    """
+    asked = allowed(chunks, queries)
+    sets = asked.select("query_id", "allowed")
+    scored = bm25(chunks, queries, key, carry=("topic",)).join(sets, "query_id").where(_open("topic"))
+    best = ranked(scored.select("query_id", key, "bm25"), "bm25", depth, "_r", key=key).drop("_r")
+    first = chunks.select(key, F.col("topic").alias("_topic")).withColumn("_r", F.row_number().over(W.partitionBy("_topic").orderBy(key))).where(F.col("_r") <= depth).drop("_r")
+    some = sets.where("allowed is not null").select("query_id", F.explode(F.array_distinct("allowed")).alias("_topic")).join(first, "_topic")
+    every = sets.where("allowed is null").join(first).select("_topic", "query_id", key)
+    spare = some.select("query_id", key).union(every.select("query_id", key)).withColumn("bm25", F.lit(0.0))
+    both = best.union(spare.select(*best.columns)).groupBy("query_id", key).agg(F.max("bm25").alias("bm25"))
+    return ranked(both, "bm25", depth, "bm25_rank", key=key)
 
 
 def unit(x: Column) -> Column:
@@ -88,11 +116,14 @@ def unit(x: Column) -> Column:
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, depth: int = 50, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, cosine, dense_rank). ``queries`` is the stated set: it is sent to every task, so callers pass it in
-    blocks of bounded size."""
-    q = queries.select("query_id", unit(F.col("query_vector").cast("array<double>")).alias("_q"))
-    v = vectors.select(key, unit(F.col("vector").cast("array<double>")).alias("_v"))
-    scored = v.join(F.broadcast(q)).select("query_id", key, F.round(vec.dot(F.col("_q"), F.col("_v")), 6).alias("cosine"))
+    """(query_id, key, cosine, dense_rank). ``queries`` (with ``allowed``, if ``vectors`` have a topic that must be in it) is the
+    stated set: it is sent to every task, so callers pass it in blocks of bounded size. A task scores its vectors against them
+    and hands on its ``depth`` best of each query only."""
+    limited = "allowed" in queries.columns
+    q = queries.select("query_id", unit(F.col("query_vector").cast("array<double>")).alias("_q"), *(["allowed"] if limited else []))
+    v = vectors.select(key, unit(F.col("vector").cast("array<double>")).alias("_v"), *(["topic"] if limited else []))
+    met = v.join(F.broadcast(q), _open("topic")) if limited else v.join(F.broadcast(q))
+    scored = met.select("query_id", key, F.round(vec.dot(F.col("_q"), F.col("_v")), 6).alias("cosine"))
     return ranked(scored, "cosine", depth, "dense_rank", key=key)
 
 

@@ -1,7 +1,9 @@
 """Paired significance tests: bootstrap, clustered bootstrap, McNemar, Wilcoxon, Holm, two proportions.
 
-Resampling uses hashes of (seed, replicate, draw) instead of a generator's stream, so results depend neither on
-partitions nor on the engine.
+Resampling is Poisson resampling: in a replicate each row (or cluster) counts as often as a Poisson number of mean 1 says,
+which is what n draws with replacement give each row of many. The numbers come from hashes of (seed, replicate, key)
+instead of a generator's stream, so results depend neither on partitions nor on the engine, and one pass with sums
+combined in the tasks makes all replicates: there is no join, no numbering and no array of draws.
 """
 
 from __future__ import annotations
@@ -15,10 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def draw(seed: int, replicate: Column, i: Column, n: Column) -> Column:
-    """A number in [0, n) from the first eight hex digits of md5("seed-replicate-i")."""
-    text = F.concat_ws("-", F.lit(str(seed)), replicate.cast("string"), i.cast("string"))
-    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("long") % n
+#: of 2**32 equally likely numbers those from the k-th entry on give k + 1 or more: the distribution function of Poisson(1)
+POISSON = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11))
+
+
+def weight(seed: int, replicate: Column, key: Column) -> Column:
+    """A Poisson number of mean 1 from the first eight hex digits of md5("seed-replicate-key")."""
+    text = F.concat_ws("-", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))
+    u = F.array(F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("long"))
+    return F.transform(u, lambda x: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda t: x >= t)))[0]
 
 
 def holm(rows: DataFrame, p: str = "p", key: str = "test", out: str = "p_holm") -> DataFrame:
@@ -73,32 +80,27 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 1.0 if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
-def bootstrap(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", place: str = "i") -> DataFrame:
+def bootstrap(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", key: str = "i") -> DataFrame:
     """(diff, low, high, p): mean difference, percentile interval of 95 %, and 2 min(share <= 0, share >= 0).
 
-    ``differences``: (place 0..n-1, value). A replicate is n draws; draws are made per task and joined with the values
-    by place, so nothing but one sum a replicate is brought together.
+    ``differences``: (key, value); rows of one key are drawn together. Without rows p is 1 and the rest null.
     """
-    n = differences.count()
-    if not n:
-        return differences.sparkSession.createDataFrame([(None, None, None, 1.0)], "diff double, low double, high double, p double")
-    drawn = differences.sparkSession.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    drawn = drawn.select("r", draw(seed, F.col("r"), F.col("j"), F.lit(n)).alias(place))
-    means = drawn.join(differences, place).groupBy("r").agg(F.avg(value).alias("m"))
-    return _summary(means, differences.agg(F.avg(value).alias("diff")))
+    return _resampled(differences.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).cast("double").alias("s"), F.lit(1).alias("k")), replicates, seed)
 
 
 def bootstrap_clustered(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", cluster: str = "cluster") -> DataFrame:
     """As ``bootstrap``, drawing whole clusters: the mean is a ratio of pooled sums, so clusters are reduced to (sum, count)."""
-    c = differences.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("k"))
-    placed = c.withColumn("i", F.row_number().over(W.orderBy(cluster)) - 1)
-    n = placed.count()
-    if not n:
-        return differences.sparkSession.createDataFrame([(None, None, None, 1.0)], "diff double, low double, high double, p double")
-    drawn = differences.sparkSession.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    drawn = drawn.select("r", draw(seed, F.col("r"), F.col("j"), F.lit(n)).cast("int").alias("i"))
-    means = drawn.join(placed, "i").groupBy("r").agg((F.sum("s") / F.sum("k")).alias("m"))
-    return _summary(means, differences.agg(F.avg(value).alias("diff")))
+    units = differences.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("id")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("k"))
+    return _resampled(units, replicates, seed)
+
+
+def _resampled(units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``units``: (id, s, k). A task hands on one pair of sums a replicate."""
+    drawn = units.select("s", "k", "id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    w = drawn.select("r", "s", "k", weight(seed, F.col("r"), F.col("id")).alias("w"))
+    means = w.groupBy("r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("k")).alias("k")).where("k > 0")
+    out = _summary(means.select((F.col("s") / F.col("k")).alias("m")), units.agg(F.try_divide(F.sum("s"), F.sum("k")).alias("diff")))
+    return out.withColumn("p", F.coalesce("p", F.lit(1.0)))
 
 
 def _summary(means: DataFrame, whole: DataFrame) -> DataFrame:

@@ -230,8 +230,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 
 def _dense(spark: SparkSession, d: str, depth: int) -> DataFrame:
     c, q, v = _vectors(spark, d)
-    scored = retrieval.dense_top(v, q, None).drop("dense_rank")
-    return retrieval.ranked(scored.join(retrieval.eligible(c, q), ["query_id", "chunk_id"], "left_semi"), "cosine", depth, "dense_rank")
+    return retrieval.dense_top(v, retrieval.allowed(c, q), depth)
 
 
 @query("SELECT query_id, chunk_id, cosine, dense_rank FROM dense WHERE dense_rank <= 10", "dense")
@@ -617,40 +616,30 @@ def wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
     return wilcoxon_stat(spark, d).withColumn("p_value", F.round(stats.two_sided_p(F.col("z")), 9))
 
 
-_BOOT = """
-SELECT round((SELECT avg(d) FROM d), 6) AS diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+_BOOT = """,
+drawn AS (SELECT r, s, k, ('0x' || substr(md5('42-' || r::VARCHAR || '-' || id::VARCHAR), 1, 8))::BIGINT AS u FROM units, range({replicates}) a(r)),
+weighed AS (SELECT r, s, k, {steps} AS w FROM drawn),
+boot AS (SELECT round(sum(w * s) / sum(w * k), 9) AS m FROM weighed GROUP BY r HAVING sum(w * k) > 0)
+SELECT (SELECT round(sum(s) / sum(k), 6) FROM units) AS diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
   round(least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p FROM boot"""
 
 
-@query("""
-, d AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, ((truth = predicted)::INT - (vec_id % 3 <> 0)::INT)::DOUBLE AS d FROM beliefs WHERE vec_id < 300),
-n AS (SELECT count(*) AS n FROM d),
-draws AS (SELECT r, ('0x' || substr(md5('42-' || r::VARCHAR || '-' || j::VARCHAR), 1, 8))::BIGINT % n AS i FROM n, range(200) a(r), range(n) b(j)),
-boot AS (SELECT r, round(avg(d), 9) AS m FROM draws JOIN d USING (i) GROUP BY 1)""" + _BOOT, "beliefs")
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """M19, over the first 300 images: the resamples of a bootstrap grow with rows times replicates."""
-    b = views.beliefs(spark, d).where("vec_id < 300")
-    x = b.select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("i"), ((F.col("truth") == F.col("predicted")).cast("int") - (F.col("vec_id") % 3 != 0).cast("int")).cast("double").alias("d"))
-    return stats.bootstrap(x, 200).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
+def _boot(units: str, replicates: int) -> str:
+    return units + _BOOT.format(replicates=replicates, steps=" + ".join(f"(u >= {t})::INT" for t in stats.POISSON))
 
 
-@query()
-def bootstrap_ci_all(spark: SparkSession, d: str) -> DataFrame:
-    """M19, over all images with the operator's own replicates: a test holds it against resampling by brute force."""
-    x = views.beliefs(spark, d).select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("i"), ((F.col("truth") == F.col("predicted")).cast("int") - (F.col("vec_id") % 3 != 0).cast("int")).cast("double").alias("d"))
-    return stats.bootstrap(x).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
+@query(_boot(", units AS (SELECT vec_id AS id, ((truth = predicted)::INT - (vec_id % 3 <> 0)::INT)::DOUBLE AS s, 1 AS k FROM beliefs)", 1000), "beliefs")
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """M19, over all images with the operator's own replicates."""
+    x = views.beliefs(spark, d).select("vec_id", ((F.col("truth") == F.col("predicted")).cast("int") - (F.col("vec_id") % 3 != 0).cast("int")).cast("double").alias("d"))
+    return stats.bootstrap(x, key="vec_id").select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
 
 
-@query("""
-, d AS (SELECT label AS cluster, (embedding[1] - embedding[2])::DOUBLE AS d FROM embeddings),
-c AS (SELECT row_number() OVER (ORDER BY cluster) - 1 AS i, sum(d) AS s, count(*) AS k FROM d GROUP BY cluster),
-n AS (SELECT count(*) AS n FROM c),
-draws AS (SELECT r, ('0x' || substr(md5('42-' || r::VARCHAR || '-' || j::VARCHAR), 1, 8))::BIGINT % n AS i FROM n, range(500) a(r), range(n) b(j)),
-boot AS (SELECT r, round(sum(s) / sum(k), 9) AS m FROM draws JOIN c USING (i) GROUP BY 1)""".replace(", d AS", "WITH d AS", 1) + _BOOT)
+@query(_boot("WITH units AS (SELECT label AS id, sum((embedding[1] - embedding[2])::DOUBLE) AS s, count(*) AS k FROM embeddings GROUP BY 1)", 1000))
 def bootstrap_clustered(spark: SparkSession, d: str) -> DataFrame:
     """M20, A37."""
     e = views.table(spark, d, "embeddings").select(F.col("label").alias("cluster"), (F.col("embedding")[0] - F.col("embedding")[1]).cast("double").alias("d"))
-    return stats.bootstrap_clustered(e, 500).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
+    return stats.bootstrap_clustered(e).select(*(r6(c, c) for c in ("diff", "low", "high", "p")))
 
 
 @query("""
@@ -824,11 +813,17 @@ m AS (SELECT *, CASE WHEN pf >= 0.02 THEN CASE WHEN sf < 0.05 THEN 'reproductive
     CASE WHEN pf >= 0.02 THEN abs(sf - 0.05) < 0.05 OR abs(sf - 0.20) < 0.05 ELSE abs(cover - 0.31) < 0.05 OR abs(cover - 0.51) < 0.05 OR pf > 0 END AS review FROM f WHERE cover >= 0.02)""".replace(", p AS", "WITH p AS", 1)
 
 
-@query(_PIXELS + "SELECT image, stage, review, round(cover, 6) AS cover, round(pf, 6) AS panicle_frac, round(sf, 6) AS senescent_frac FROM m")
+#: shares to six places by whole numbers, as engines round ties of doubles apart
+_SHARE = "((2000000 * ({n}) + greatest({d}, 1)) {div} (2 * greatest({d}, 1))) / 1000000.0"
+
+
+@query(_PIXELS.replace("SELECT image, parent, (c1", "SELECT *, (c1") + "SELECT image, stage, review, " + ", ".join(
+    f"({_SHARE.format(n=n, d=d, div='//')})::DOUBLE AS {c}" for c, n, d in (("cover", "c1 + c2 + c3", "c0 + c1 + c2 + c3"), ("panicle_frac", "c3", "c1 + c2 + c3"), ("senescent_frac", "c2", "c1 + c2"))) + " FROM m")
 def morphology_stage(spark: SparkSession, d: str) -> DataFrame:
     """P24, P26, P27, F20."""
     m = manifest.morphology(manifest.features(views.pixels(spark, d)))
-    return m.select("image", "stage", "review", r6("cover", "cover"), r6("panicle_frac", "panicle_frac"), r6("senescent_frac", "senescent_frac"))
+    share = lambda n, d, name: F.expr(_SHARE.format(n=n, d=d, div="div")).cast("double").alias(name)
+    return m.select("image", "stage", "review", share("canopy_px", "class_0 + canopy_px", "cover"), share("class_3", "canopy_px", "panicle_frac"), share("class_2", "class_1 + class_2", "senescent_frac"))
 
 
 @query(_PIXELS + "SELECT stage, count(*) AS n, sum(review::INT)::BIGINT AS review, count(DISTINCT parent) AS parents FROM m GROUP BY 1")
