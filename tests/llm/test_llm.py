@@ -174,7 +174,9 @@ def test_keep_one(spark):
     kept = simhash.keep_one(d.union(d))
     assert kept.columns == d.columns
     got = sorted((r.text or "")[:2] for r in kept.collect())
-    assert got == ["", "w0", "x0"] or got == ["", "", "w0", "x0"]  # null and empty have one fingerprint
+    assert got == ["", "w0", "x0"]  # null and empty are one class
+    clash = d.withColumn("_h1", F.lit("a")).withColumn("_k2", F.lit("b"))
+    assert sorted((r.text or "")[:2] for r in simhash.keep_one(clash).collect()) == got and simhash.keep_one(clash).columns == clash.columns
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
@@ -768,15 +770,24 @@ def test_pipeline_stages(spark, sf):
     one = corpus_pipeline.near_duplicates_stage(spark, good, sf).cache()
     texts = [r.text for r in one.collect()]
     assert one.columns == names and len(texts) == len(set(texts)) and {r.text for r in good.collect()} >= set(texts)
-    # no two of what stays are near in the sense of the stage
-    seq = [t.encode().lower().split() for t in texts]
-    words = [[simhash._fingerprint(s, 1, seed) for s in seq] for seed in simhash.WORD_SEEDS]
-    five = [simhash._fingerprint(s, 5, 42) for s in seq]
-    share = math.acos(1.6 / 1.8) / math.pi
-    limit = math.ceil(64 * share + (64 * share * (1 - share)) ** 0.5)
-    for a in range(len(seq)):
-        for b in range(a):
-            assert not (any((w[a] ^ w[b]).bit_count() <= 3 for w in words) and (five[a] ^ five[b]).bit_count() <= limit)
+    # no two of what stays are near, and whatever went is linked to a row of its class that stays
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    def near(a, b):
+        return len(a & b) >= 0.8 * len(a | b)
+
+    sets = {t: shingles(t) for t in {r.text for r in good.collect()}}
+    for k, a in enumerate(texts):
+        assert not any(near(sets[a], sets[b]) for b in texts[:k])
+    reached, open_ = set(texts), list(texts)
+    while open_:
+        a = open_.pop()
+        new = [t for t in sets if t not in reached and near(sets[a], sets[t])]
+        reached.update(new)
+        open_ += new
+    assert reached == set(sets)
     clean = corpus_pipeline.secrets_stage(spark, one, sf).cache()
     assert clean.columns == names and clean.count() == one.count() and clean.where("n_chars <> char_length(text)").count() == 0
     mixed = corpus_pipeline.mixture_stage(spark, clean, sf).cache()
@@ -785,6 +796,14 @@ def test_pipeline_stages(spark, sf):
     assert packed.where("start = 0").count() == mixed.count() and packed.where("size(ids) <> length").count() == 0
 
 
+def test_quality_stage_names_that_clash(spark, sf):
+    docs = table(spark, sf, "documents").limit(50).withColumn("_score", F.lit("mine")).withColumn("_SCORED", F.lit("too"))
+    good = corpus_pipeline.quality_stage(spark, docs, sf)
+    assert good.columns == docs.columns and {(r._score, r._SCORED) for r in good.collect()} == {("mine", "too")}
+    with pytest.raises(ValueError):
+        quality.score(docs, quality.train([], epochs=1), out="_score")
+
+
 def test_pipeline_runs_over_nothing(spark, tmp_path):
     empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

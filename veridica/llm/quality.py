@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, unused
 
 CELL, LAGS, POOL, VECTOR, FILTERS = 8, 16, 16, 8, 24
 PIECE = 1 << 16
@@ -166,21 +166,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "qu
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", keys: list[str] | None = None, out: str = "score") -> DataFrame:
-    """``keys`` (by default all columns) and ``out``, the probability of label 1, for every row; null texts are empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    """``keys`` (by default all columns) and ``out``, the probability of label 1, for every row; null texts are empty.
+
+    Repeated rows are scored each; an empty table gives no rows; columns may have any names but ``out``, which is an error.
+    """
     kept = docs.columns if keys is None else keys
-    some = docs.select(F.col(f"`{text}`").alias("_scored"), *(F.col(f"`{c}`") for c in kept))
+    if out.lower() in [c.lower() for c in kept]:
+        raise ValueError(f"there is a column {out} already")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    (scored,) = unused(kept, "_scored")
+    some = docs.select(F.col(f"`{text}`").alias(scored), *(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = pa.array([probability(shared.value, x) for x in as_bytes(b.column(0))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], p], [*b.schema.names[1:], out])
 
-    return some.mapInArrow(run, some.drop("_scored").schema.add(out, "double"))
+    return some.mapInArrow(run, some.drop(scored).schema.add(out, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, **how) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; learns from rows outside fold 0 only."""
+    """(doc_id, held_out, score, predicted) for every row; learns from rows outside fold 0 only. Null texts are empty, a null id
+    is of the fold of "null", repeated rows are scored each, an empty table gives no rows, further columns are not read."""
     net = fit(docs, labels.where(fold(F.col("doc_id"), folds) != 0), **how)
     rows = score(docs.select("doc_id", "text"), net, "text", ["doc_id"])
     return rows.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..operators.graph import components
-from .common import as_bytes, saved
+from .common import as_bytes, saved, unused
 
 RADIUS = 3
 HEAVY = 4096
@@ -229,19 +229,16 @@ def minhashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_minhashes(docs: DataFrame, text: str, keys: list[str], words: int) -> DataFrame:
-    """The ``keys`` columns, the shingle fingerprint ``fp0``, those of single words, the sketches ``s0`` and ``s1``, and ``bands``."""
-    names = [*(f"fp{k}" for k in range(len(WORD_SEEDS) + 1)), "s0", "s1"]
+    """The ``keys`` columns, the shingle fingerprint ``fp``, the sketches ``s0`` and ``s1``, and ``bands``."""
+    names = ["fp", "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, bands = np.zeros((len(names), b.num_rows), dtype=np.uint64), np.zeros((b.num_rows, BANDS), dtype=np.uint64)
             for i, x in enumerate(as_bytes(b.column(b.num_columns - 1))):
-                seq = x.lower().split()
-                hashes = _hashes(seq, words, SEED)
+                hashes = _hashes(x.lower().split(), words, SEED)
                 found[0, i] = _majority(hashes)
-                for k, seed in enumerate(WORD_SEEDS):
-                    found[k + 1, i] = _fingerprint(seq, 1, seed)
-                found[-2:, i], bands[i] = minhashes(hashes)
+                found[1:, i], bands[i] = minhashes(hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(f.view(np.int64)) for f in found), lists], [*b.schema.names[:-1], *names, "bands"])
 
@@ -298,41 +295,35 @@ def _verified(words: int, similarity: float):
     return run
 
 
-#: Seeds of the three fingerprints of single words by which ``keep_one`` looks for candidates.
-WORD_SEEDS = (42, 43, 44)
-
-
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but, of each class of near duplicates, only that of least (doc_id, hash of the row).
 
-    Two rows are near duplicates if ``similarity`` of the union of their five-word shingles is common. Candidates, of
-    whatever pattern of edits, share one of ``BANDS`` bands of min-hashes and differ in at most ``SKETCH`` bits of two
-    sketches each; what candidates connect comes together once, and links are verified by the exact sets of shingles.
-
-    Linked as well are rows that are within 3 bits in one of three fingerprints of single words, found by multi-index
-    hashing, and whose shingle fingerprints differ by no more bits than 64 acos(2J / (1 + J)) / pi, which is expected at
-    a share J of ``similarity``, and a standard deviation: an estimate, which scattered edits of somewhat lower shares pass.
+    Two rows are near duplicates if ``similarity`` of the union of their five-word shingles is common. Candidates are texts
+    whose shingle fingerprints lie within 3 bits, found by multi-index hashing, and, as a fingerprint of 64 bits tells
+    likeness too roughly for edits in one place, texts that share one of ``BANDS`` bands of min-hashes and differ in at most
+    ``SKETCH`` bits of two sketches each. What candidates connect comes together once, and every link is verified by the exact
+    sets of shingles.
 
-    Null ids come last; of rows that are equal in every column one stays; texts without words are one class. Columns
-    are unchanged.
+    Null ids come last; of rows that are equal in every column one stays; texts without words, null ones among them, are one
+    class; an empty table gives no rows. Columns are unchanged, whatever their names.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(np.ceil(64 * share + (64 * share * (1 - share)) ** 0.5))
     every = [F.col(f"`{c}`") for c in docs.columns]
-    key = [F.xxhash64(*every).alias("_h1"), F.hash(*every).alias("_h2")]
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *key, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("_text"))
-    prints = saved(_with_minhashes(some, "_text", ["doc_id", "_h1", "_h2", "id"], words), "simhash")
-    least = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h1", "_h2")
-    fps = [f"fp{i}" for i in range(1, len(WORD_SEEDS) + 1)]
-    own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), F.first("fp0").alias("chk"), *(F.first(f).alias(f) for f in (*fps, "s0", "s1", "bands"))), "prints")
+    h1, h2, k1, k2 = unused(docs.columns, "_h1", "_h2", "_k1", "_k2")
+    key = [F.xxhash64(*every).alias(h1), F.hash(*every).alias(h2)]
+    keys = [F.xxhash64(*every).alias("h1"), F.hash(*every).alias("h2")]
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *keys, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = saved(_with_minhashes(some, "text", ["doc_id", "h1", "h2", "id"], words), "simhash")
+    least = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h1", "h2")
+    own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("fp", "s0", "s1", "bands"))), "prints")
+    near = links(own.select("id", "fp", F.col("fp").alias("chk")), ["fp"])
     banded = own.select(F.posexplode("bands").alias("part", "value"), F.lit(True).alias("own"), "id", F.col("s0").alias("fp"), F.col("s1").alias("chk"))
     met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, None, SKETCH, SKETCH), _FOUND)
-    roots = components(saved(met.select("a", "b"), "bands")).withColumnRenamed("node", "id")
-    some = saved(own.join(roots, "id").select("root", "id", F.col("least._h1").alias("_k1"), F.col("least._h2").alias("_k2")), "candidates")
-    texts = docs.select(*key, F.col(f"`{text}`").alias("_text")).join(some, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))).select("root", "id", "_text")
+    roots = components(saved(met.select("a", "b").union(near), "candidates")).withColumnRenamed("node", "id")
+    some = saved(own.join(roots, "id").select("root", "id", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
+    texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).join(some, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("root", "id", "text")
     exact = saved(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_verified(words, similarity), "a long, b long"), "exact")
-    classes = named(own.select("id", "least"), links(own.select("id", "chk", *fps), fps, RADIUS, limit).union(exact))
-    chosen = saved(classes.select(F.col("component_id._h1").alias("_k1"), F.col("component_id._h2").alias("_k2")).distinct(), "kept")
+    classes = named(own.select("id", "least"), exact)
+    chosen = saved(classes.select(F.col("component_id.h1").alias(k1), F.col("component_id.h2").alias(k2)).distinct(), "kept")
     rows = docs.select(*every, *key)
-    kept = rows.join(chosen, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
-    return kept.dropDuplicates(["_h1", "_h2"]).select(*every)
+    kept = rows.join(chosen, (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_semi")
+    return kept.dropDuplicates([h1, h2]).select(*every)
