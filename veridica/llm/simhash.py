@@ -320,10 +320,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, None, SKETCH, SKETCH), _FOUND)
     roots = components(saved(met.select("a", "b").union(near), "candidates")).withColumnRenamed("node", "id")
     some = saved(own.join(roots, "id").select("root", "id", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
-    texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).join(some, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("root", "id", "text")
+    # texts are met by a merge at every size: what a few rows would allow is no plan for many
+    texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).join(some.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("root", "id", "text")
     exact = saved(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_verified(words, similarity), "a long, b long"), "exact")
     classes = named(own.select("id", "least"), exact)
     chosen = saved(classes.select(F.col("component_id.h1").alias(k1), F.col("component_id.h2").alias(k2)).distinct(), "kept")
     rows = docs.select(*every, *key)
-    kept = rows.join(chosen, (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_semi")
+    kept = rows.join(chosen.hint("merge"), (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_semi")
     return kept.dropDuplicates([h1, h2]).select(*every)
