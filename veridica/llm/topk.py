@@ -1,8 +1,8 @@
 """Exact top-k inner products by tiles (operator 10).
 
 Vectors are quantised to integers, floor(1024 x). Queries go out in blocks of at most ``BLOCK`` rows and
-``BLOCK_BYTES``, so what is
-broadcast has a fixed size whatever the table; each pass reads the shards once. A tile is a block of queries times
+``BLOCK_BYTES``: each broadcast is of a fixed size, their sum grows with the queries; each pass reads the shards once.
+A tile is a block of queries times
 an Arrow batch of candidates: one matrix product, a partial selection of the k best of each query, merged into the
 list that the task holds. The lists of all tasks merge by a tree: groups of ``FAN`` first, then by query.
 Products are exact: doubles where all sums stay below 2**53, Python integers beyond.
