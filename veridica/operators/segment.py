@@ -234,7 +234,7 @@ def focused(rows: DataFrame, lexicon: Lexicon, text: str = "text", topic: str =
 def dedup_number(rows: DataFrame, source: str = "source_id", position: str = "position", text: str = "text", topic: str = "topic") -> DataFrame:
     """Per source the first of equal (topic, letters and digits of the text), numbered "<source>_C%04d".
 
-    First rows come from an aggregation on the key; numbering then needs a source's rows in order, as their numbers do.
+    First rows come from a window over (source, key); numbering then needs a source's rows in order, as their numbers do.
     """
     keyed = rows.withColumn("_k", X.dedup_key(F.col(topic), F.col(text)))
     w = W.partitionBy(source, "_k").orderBy(position)
