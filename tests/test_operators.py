@@ -195,3 +195,44 @@ def test_classes_and_vectors(spark):
     v = one(spark, segment.stage_vector(F.lit(""), F.lit("heading then ripening heading"), F.lit("x"), [(), (), (), ("heading",), (), ("ripening",)]))
     assert v == [0.0, 0.0, 0.55, 1.0, 0.55, 0.85]
     assert len(STAGE_NAMES) == 6
+
+
+def test_aligned_runs_must_agree_on_labels(spark):
+    from veridica.operators.reports import aligned
+
+    a = spark.createDataFrame([("x", 1, 1), ("y", 2, 1)], "image_id string, truth int, predicted int")
+    assert {tuple(r) for r in aligned(a, a.where("image_id = 'x'")).collect()} == {("x", 1, 1, 1)}
+    with pytest.raises(Exception, match="labels differ: y"):
+        aligned(a, a.withColumn("truth", F.lit(1))).collect()
+
+
+def test_required_split_and_fallback(spark):
+    rows = spark.createDataFrame([("train", 1)], "split string, v int")
+    assert manifest.split_rows(rows, "train").count() == 1
+    assert manifest.split_rows(rows, "test", required=False).count() == 0
+    with pytest.raises(ValueError, match="test"):
+        manifest.split_rows(rows, "test")
+    files = spark.createDataFrame([("01_establishment/a/x.jpg",), ("other/y.jpg",)], "path string")
+    sheet = spark.createDataFrame([("a.jpg", "winter"), ("b.jpg", "tillering")], "image_path string, macro_stage string")
+    kept, gone, mode = manifest.with_fallback(sheet, files)
+    assert (kept.count(), gone.count(), mode) == (1, 1, "sheet")
+    for none in (None, sheet.where("macro_stage = 'winter'")):
+        kept, gone, mode = manifest.with_fallback(none, files)
+        assert ([r.macro_stage for r in kept.collect()], [r.path for r in gone.collect()], mode) == (["establishment"], ["other/y.jpg"], "folder")
+
+
+def test_numbered_without_rows_and_with_many_tasks(spark):
+    from veridica.operators.ranking import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert all(r.place == r.k + 1 for r in numbered(rows, [F.col("k")]).collect())
+    assert numbered(rows.where("k < 0"), [F.col("k")]).count() == 0
+    with pytest.raises(ValueError, match="k"):
+        numbered(rows, [F.col("k")], "k")
+
+
+def test_grouped_bootstrap_equals_each_group_alone(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 37 % 11) / 10.0 - 0.4).alias("d"))
+    both = {r.g: tuple(r)[1:] for r in stats.bootstrap(rows, 100, key="id", by=["g"]).collect()}
+    for g in range(3):
+        assert both[g] == pytest.approx(tuple(stats.bootstrap(rows.where(F.col("g") == g), 100, key="id").first()))

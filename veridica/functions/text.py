@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import STAGES, TOPIC_LABELS_VI, aliases
+
 TOKEN = "[0-9A-Za-zÀ-ỹĐđ]+"
 WORDISH = "[\\p{L}\\p{N}_À-ỹ]"
 
@@ -88,3 +90,25 @@ def sentences(text: Column) -> Column:
 
 def dedup_key(topic: Column, text: Column, length: int = 1000) -> Column:
     return F.sha1(F.concat(topic, F.substring(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", ""), 1, length)))
+
+
+def stage_label(label: Column) -> Column:
+    """A scenario's stage: "/", "-" and blanks to "_" one by one (repeats stay), other spellings by the alias table; null if
+    that is no stage."""
+    key = F.translate(F.lower(F.trim(label)), "/- ", "___")
+    names = {a: name for a, name, training in aliases() if training}
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[key]
+
+
+def topic_query(topic: Column, stage: Column, language: Column) -> Column:
+    """The text of a topic's query in Vietnamese ("vi") or English (any other language), with the stage's name and range where
+    ``stage`` is not null or empty; a stage that is not known stands as it is, without a range."""
+    plain = F.replace(topic, F.lit("_"), F.lit(" "))
+    vi = F.coalesce(F.create_map(*(F.lit(x) for pair in TOPIC_LABELS_VI.items() for x in pair))[topic], plain)
+    key = F.lower(F.trim(stage))
+    shown = F.coalesce(F.create_map(*(F.lit(x) for n, d, _ in STAGES for x in (n, d)))[key], stage)
+    span = F.coalesce(F.create_map(*(F.lit(x) for n, _, b in STAGES for x in (n, b)))[key], F.lit(""))
+    bare = F.coalesce(stage, F.lit("")) == ""
+    in_vi = F.when(bare, F.format_string("Bằng chứng %s phù hợp với lúa.", vi)).otherwise(F.format_string("Bằng chứng %s phù hợp với lúa ở giai đoạn %s, BBCH %s.", vi, shown, span))
+    in_en = F.when(bare, F.format_string("Rice %s evidence.", plain)).otherwise(F.format_string("Rice %s evidence applicable to %s, BBCH %s.", plain, shown, span))
+    return F.when(language == "vi", in_vi).otherwise(in_en)

@@ -129,3 +129,40 @@ def sample_weights(rows: DataFrame, stage: str = "stage_id") -> DataFrame:
 def best_epoch(rows: DataFrame, by: str, epoch: str, f1: str) -> DataFrame:
     """The earliest epoch of highest f1 (a strict running best)."""
     return rows.groupBy(by).agg(F.min_by(epoch, F.struct((-F.col(f1)).alias("f"), epoch)).alias("best_epoch"), F.max(f1).alias("best_f1"))
+
+
+def stem_index(files: DataFrame, folder: str = "rgb", path: str = "path") -> DataFrame:
+    """(stem, file): of the paths under a directory ``folder`` the first of each stem."""
+    under = files.where(F.array_contains(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), folder))
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return under.groupBy(stem.alias("stem")).agg(F.min(path).alias("file"))
+
+
+def pixel_files(pixels: DataFrame, files: DataFrame, image: str = "image") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``pixels`` with their ``file``, one row of counts ``matched`` and ``unmatched``); rows without a file go."""
+    met = pixels.join(stem_index(files).withColumnRenamed("stem", image), image, "left")
+    return met.where("file is not null"), met.agg(F.count("file").alias("matched"), F.count_if(F.col("file").isNull()).alias("unmatched"))
+
+
+def split_rows(rows: DataFrame, which: str, split: str = "split", required: bool = True) -> DataFrame:
+    """Rows of one split; with ``required`` an empty one is an error."""
+    found = rows.where(F.col(split) == which)
+    if required and found.isEmpty():
+        raise ValueError(f"the split {which} has no rows")
+    return found
+
+
+def continued_epochs(before: DataFrame, new: DataFrame, by: str, epoch: str = "epoch") -> DataFrame:
+    """``new`` with epochs counted on from the last one of the run ``before``; without one they stay."""
+    last = before.groupBy(by).agg(F.max(epoch).alias("_last"))
+    return new.join(last, by, "left").withColumn(epoch, F.col(epoch) + F.coalesce("_last", F.lit(0))).drop("_last")
+
+
+def with_fallback(sheet: DataFrame | None, files: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(training rows, excluded rows, mode): a sheet's rows; where the sheet is missing or teaches nothing, those that the
+    folders of ``files`` name, mode "folder"."""
+    if sheet is not None:
+        kept, gone = exclusions(sheet)
+        if not kept.isEmpty():
+            return kept, gone, "sheet"
+    return from_files(files), files.where(folder_stage(F.split("path", "/")[0]).isNull()), "folder"

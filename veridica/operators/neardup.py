@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from .graph import components
+from .ranking import numbered
 
 
 def average_hash(values: Column) -> Column:
@@ -67,8 +68,15 @@ def group_split(rows: DataFrame, group: str, test: float = 0.2, validation: floa
     validation. With ``stratum`` that is done within each of its values (a group's is its least)."""
     agg = [F.min(stratum).alias(stratum)] if stratum else []
     g = rows.groupBy(group).agg(*agg) if agg else rows.select(group).distinct()
-    by = W.partitionBy(stratum) if stratum else W.partitionBy()
-    g = g.withColumn("_r", F.row_number().over(by.orderBy(group_rank(seed, F.col(group)), group))).withColumn("_n", F.count("*").over(by))
+    order = [group_rank(seed, F.col(group)), F.col(group)]
+    if stratum:
+        # places are taken over all strata; what lies before a stratum is one row a stratum
+        g = numbered(g, [F.col(stratum), *order], "_r")
+        sizes = g.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"), F.min("_r").alias("_low"))
+        g = g.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_r", F.col("_r") - F.col("_low") + 1).drop("_s", "_low")
+    else:
+        g = numbered(g, order, "_r")
+        g = g.join(F.broadcast(g.agg(F.count("*").alias("_n"))))
     first, second = F.ceil(test * F.col("_n")), F.ceil(validation * F.col("_n"))
     split = F.when(F.col("_r") <= first, "test").when(F.col("_r") <= first + second, "validation").otherwise("train")
     return g.withColumn("split", split).drop("_r", "_n")

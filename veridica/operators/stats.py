@@ -80,12 +80,14 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 1.0 if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
-def bootstrap(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", key: str = "i") -> DataFrame:
+def bootstrap(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", key: str = "i", by: list[str] | None = None) -> DataFrame:
     """(diff, low, high, p): mean difference, percentile interval of 95 %, and 2 min(share <= 0, share >= 0).
 
-    ``differences``: (key, value); rows of one key are drawn together. Without rows p is 1 and the rest null.
+    ``differences``: (key, value); rows of one key are drawn together. Without rows p is 1 and the rest null. With ``by``
+    a row for each of its values, which share the draws of a key.
     """
-    return _resampled(differences.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).cast("double").alias("s"), F.lit(1).alias("k")), replicates, seed)
+    by = by or []
+    return _resampled(differences.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("id"), F.col(value).cast("double").alias("s"), F.lit(1).alias("k")), replicates, seed, by)
 
 
 def bootstrap_clustered(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", cluster: str = "cluster") -> DataFrame:
@@ -94,19 +96,20 @@ def bootstrap_clustered(differences: DataFrame, replicates: int = 1000, seed: in
     return _resampled(units, replicates, seed)
 
 
-def _resampled(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``units``: (id, s, k). A task hands on one pair of sums a replicate."""
-    drawn = units.select("s", "k", "id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    w = drawn.select("r", "s", "k", weight(seed, F.col("r"), F.col("id")).alias("w"))
-    means = w.groupBy("r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("k")).alias("k")).where("k > 0")
-    out = _summary(means.select((F.col("s") / F.col("k")).alias("m")), units.agg(F.try_divide(F.sum("s"), F.sum("k")).alias("diff")))
+def _resampled(units: DataFrame, replicates: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """``units``: (by, id, s, k). A task hands on one pair of sums a replicate (and value of ``by``)."""
+    by = by or []
+    drawn = units.select(*by, "s", "k", "id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    w = drawn.select(*by, "r", "s", "k", weight(seed, F.col("r"), F.col("id")).alias("w"))
+    means = w.groupBy(*by, "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("k")).alias("k")).where("k > 0")
+    out = _summary(means.select(*by, (F.col("s") / F.col("k")).alias("m")), units.groupBy(*by).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("diff")), by)
     return out.withColumn("p", F.coalesce("p", F.lit(1.0)))
 
 
-def _summary(means: DataFrame, whole: DataFrame) -> DataFrame:
+def _summary(means: DataFrame, whole: DataFrame, by: list[str]) -> DataFrame:
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    s = means.select(F.round("m", 9).alias("m")).agg(q[0].alias("low"), q[1].alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p"))
-    return whole.join(F.broadcast(s)).select("diff", "low", "high", "p")
+    s = means.withColumn("m", F.round("m", 9)).groupBy(*by).agg(q[0].alias("low"), q[1].alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p"))
+    return (whole.join(s, by, "left") if by else whole.join(F.broadcast(s))).select(*by, "diff", "low", "high", "p")
 
 
 def two_proportions(rows: DataFrame, group: str, hit: str, first: str, second: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import corpus, evaluation, manifest, neardup, retrieval, segment, stats, temporal
+from ..operators.ranking import numbered
 from ..schema import N_STAGES, STAGE_NAMES
 from ..sources import views
 from .oracle_views import with_views
@@ -612,8 +613,8 @@ def wilcoxon_stat(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
-    """The normal tail has no SQL form."""
-    return wilcoxon_stat(spark, d).withColumn("p_value", F.round(stats.two_sided_p(F.col("z")), 9))
+    """The SQL sums a series for the normal tail."""
+    return wilcoxon_stat(spark, d).withColumn("p_value", r6(stats.two_sided_p(F.col("z")), "p_value"))
 
 
 _BOOT = """,
@@ -944,7 +945,7 @@ def chunk_dedup_number(spark: SparkSession, d: str) -> DataFrame:
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """T05."""
     c = views.chunks(spark, d).where("review_status <> 'reviewed' or restricted_action")
-    return c.select("chunk_id", "restricted_action", F.row_number().over(W.orderBy(~F.col("restricted_action"), "source_id", "chunk_id")).alias("place"))
+    return numbered(c.select("chunk_id", "restricted_action", "source_id"), [~F.col("restricted_action"), F.col("source_id"), F.col("chunk_id")]).select("chunk_id", "restricted_action", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT chunk_id, contains(lower(text), 'token =') OR contains(lower(text), 'license') AS restricted FROM chunks", "chunks")

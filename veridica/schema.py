@@ -34,6 +34,18 @@ TOPICS = (
     "water_management", "nutrient_management", "pest_risk", "disease_risk", "weed_management",
     "harvest_readiness", "residue_management", "climate_adaptation", "general_crop_care",
 )
+# The topics' names in Vietnamese queries.
+TOPIC_LABELS_VI = {
+    "water_management": "quản lý nước",
+    "nutrient_management": "quản lý dinh dưỡng và bón phân",
+    "pest_risk": "nguy cơ và quản lý sâu hại",
+    "disease_risk": "nguy cơ và quản lý bệnh hại",
+    "weed_management": "quản lý cỏ dại và lúa cỏ",
+    "harvest_readiness": "đánh giá chín và thời điểm thu hoạch",
+    "residue_management": "quản lý rơm rạ sau thu hoạch",
+    "climate_adaptation": "canh tác thích ứng biến đổi khí hậu",
+    "general_crop_care": "kỹ thuật chăm sóc lúa",
+}
 GENERAL_TOPIC = "general_crop_care"
 FACETS = ("fertilizer", "conditions", "pest_disease_prevention", "next_stage_action")
 APPROVED = ("reviewed", "domain_reviewed", "approved")

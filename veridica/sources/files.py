@@ -118,12 +118,18 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.schema(schema).json(path) if ".json" in path else read_table(spark, path)
     raw = raw.select(*(F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names))
-    stage = lambda c: F.array_position(F.array(*map(F.lit, STAGE_NAMES)), X.slug(F.col(c))) - 1
+    stage = lambda c: F.array_position(F.array(*map(F.lit, STAGE_NAMES)), X.stage_label(F.col(c))) - 1
     belief = belief_of(F.coalesce(F.nullif("calibrated_stage_belief", F.lit("")), "stage_belief"), F.coalesce(F.nullif(stage("predicted_stage"), F.lit(-1)), stage("ground_truth_stage")), N_STAGES)
     out = raw.select("scenario_id", "topic", "query", stage("ground_truth_stage").cast("int").alias("truth"), stage("predicted_stage").cast("int").alias("predicted_stage"), F.col("confidence").try_cast("double").alias("said"), belief.alias("belief"), grades_of(F.col("relevance_grades"), F.col("relevant_chunk_ids")).alias("grades"), ids_of(F.coalesce(F.nullif("incompatible_chunk_ids", F.lit("")), "nonmatching_chunk_ids")).alias("incompatible"))
     return out.select("scenario_id", "topic", "query", "truth", "predicted_stage", F.coalesce("said", F.array_max("belief")).alias("confidence"), "belief", vec.argmax(F.col("belief")).alias("predicted"), "grades", "incompatible")
 
 
+def write_scenarios(rows: DataFrame, path: str) -> None:
+    """CSV with header; arrays as JSON."""
+    text = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in rows.schema]
+    rows.select(*text).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def scan_images(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path relative to the root, [sha256 of the content]) of image files under ``root``; without ``content`` no byte is read."""
     from ..operators.manifest import IMAGE_GLOB
