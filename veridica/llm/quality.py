@@ -3,9 +3,8 @@
 Input: a text's UTF-8 bytes in cells of ``CELL`` bytes. A byte has a learned vector; a cell also has the shares of its
 bytes that equal the byte 2, 3 ... ``LAGS`` + 1 places before, by which filters see repetition whatever is repeated.
 Filters span two cells and move by one, so chunks of 16 bytes overlap by 8 and cover the whole text. Rectified
-responses are max-pooled over blocks of ``POOL`` chunks; a document has, for each filter, the largest and the mean of
-its blocks' maxima, and a logistic layer makes them one probability. Long texts are read in pieces, with running
-maxima and sums, so memory does not grow with the text.
+responses are max-pooled over the document, and a logistic layer makes the maxima one probability. Long texts are read
+in pieces, with running maxima, so memory does not grow with the text.
 
 Training: Adam on the log loss over a bounded sample of labelled rows (``sample`` rows at most, those of least hash),
 each with its whole text. Only the text is an input of a score.
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, unused
 
-CELL, LAGS, POOL, VECTOR, FILTERS = 8, 16, 16, 8, 24
+CELL, LAGS, VECTOR, FILTERS = 8, 16, 8, 24
 PIECE = 1 << 16
 
 
@@ -32,7 +31,7 @@ class Network:
     vectors: np.ndarray  # (256, VECTOR)
     filters: np.ndarray  # (2 * (CELL * VECTOR + LAGS), FILTERS)
     bias: np.ndarray  # (FILTERS,)
-    out: np.ndarray  # (2 * FILTERS,)
+    out: np.ndarray  # (FILTERS,)
     base: np.ndarray  # (1,)
 
     def parts(self) -> list[np.ndarray]:
@@ -70,15 +69,14 @@ def _responses(net: Network, x: np.ndarray) -> np.ndarray:
 
 
 def pooled(net: Network, text: bytes) -> np.ndarray:
-    """Largest and mean of the blocks' maxima, for each filter. Pieces are whole blocks and share a cell, so the result is as of one pass."""
-    data, step = _padded(text), PIECE // (CELL * POOL) * CELL * POOL
-    top, total, blocks = np.zeros(FILTERS, dtype=np.float32), np.zeros(FILTERS, dtype=np.float64), 0
+    """Each filter's largest response. Pieces share a cell, so the result is as of one pass."""
+    data, step = _padded(text), PIECE // CELL * CELL
+    top = np.zeros(FILTERS, dtype=np.float32)
     for lo in range(0, len(data) - CELL, step):
         before = np.concatenate([np.zeros(max(0, LAGS + 1 - lo), np.uint8), data[max(0, lo - LAGS - 1) : lo]])
         r = _responses(net, _inputs(net, *cells(data[lo : lo + step + CELL], before)))
-        best = np.maximum.reduceat(r, np.arange(0, len(r), POOL), axis=0)
-        top, total, blocks = np.maximum(top, best.max(axis=0)), total + best.sum(axis=0), blocks + len(best)
-    return np.concatenate([top, (total / blocks).astype(np.float32)])
+        top = np.maximum(top, r.max(axis=0))
+    return top
 
 
 def probability(net: Network, text: bytes) -> float:
@@ -91,23 +89,12 @@ def _gradients(net: Network, text: bytes, label: int) -> tuple[float, list[np.nd
     byte_cells, same = cells(data, np.zeros(LAGS + 1, dtype=np.uint8))
     x = _inputs(net, byte_cells, same)
     r = _responses(net, x)
-    starts = np.arange(0, len(r), POOL)
-    best = np.maximum.reduceat(r, starts, axis=0)
-    h = np.concatenate([best.max(axis=0), best.mean(axis=0)])
+    which = r.argmax(axis=0)
+    h = r[which, np.arange(FILTERS)]
     p = 1 / (1 + np.exp(-np.clip(h @ net.out + net.base[0], -60, 60)))
     d = np.float32(p - label)
-    # which chunk is a block's largest, and which block the document's
-    which = np.empty(best.shape, dtype=np.int64)
-    whole = len(r) // POOL
-    if whole:
-        which[:whole] = r[: whole * POOL].reshape(whole, POOL, FILTERS).argmax(axis=1) + starts[:whole, None]
-    if whole < len(starts):
-        which[whole] = r[whole * POOL :].argmax(axis=0) + starts[whole]
-    g = np.broadcast_to(d * net.out[FILTERS:] / len(best), best.shape).astype(np.float32)
-    g[best.argmax(axis=0), np.arange(FILTERS)] += d * net.out[:FILTERS]
-    g = g * (best > 0)
     dense = np.zeros_like(r)
-    np.add.at(dense, (which, np.broadcast_to(np.arange(FILTERS), which.shape)), g)
+    dense[which, np.arange(FILTERS)] = d * net.out * (h > 0)
     half = len(net.filters) // 2
     grad_filters = np.vstack([x[:-1].T @ dense, x[1:].T @ dense])
     grad_x = np.zeros((len(x), CELL * VECTOR), dtype=np.float32)
@@ -125,7 +112,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 4, batch: int = 16, rate:
     """Without rows, or with one class only, the network still scores: near the share of label 1."""
     rng = np.random.default_rng(seed)
     width = 2 * (CELL * VECTOR + LAGS)
-    net = Network(*(a.astype(np.float32) for a in (rng.normal(0, 0.5, (256, VECTOR)), rng.normal(0, (2 / width) ** 0.5, (width, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(1))))
+    net = Network(*(a.astype(np.float32) for a in (rng.normal(0, 0.5, (256, VECTOR)), rng.normal(0, (2 / width) ** 0.5, (width, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, FILTERS), np.zeros(1))))
     share = min(max(np.mean([y for _, y in rows]) if rows else 0.5, 0.01), 0.99)
     net.base[0] = np.log(share / (1 - share))
     first, second, step = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
