@@ -249,6 +249,13 @@ def _with_minhashes(docs: DataFrame, text: str, keys: list[str], words: int) ->
     return some.mapInArrow(run, schema.add("bands", ArrayType(LongType())))
 
 
+def _common(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many of each set's numbers are in ``own``; all sorted, distinct, not empty."""
+    every, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def shared_shingles(ids: list[int], sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """(n, 2): links of a spanning forest of the graph of pairs whose sets (sorted, distinct, not empty) share ``similarity`` of their union."""
     sizes, left, found = np.array([len(x) for x in sets]), np.arange(len(sets)), []
@@ -259,10 +266,7 @@ def shared_shingles(ids: list[int], sets: list[np.ndarray], similarity: float) -
             fit = left[np.minimum(sizes[left], sizes[c]) >= similarity * np.maximum(sizes[left], sizes[c]) - 1e-9]
             common = np.zeros(len(fit), dtype=np.int64)
             for i in range(0, len(fit), 256):
-                some = fit[i : i + 256]
-                every = np.concatenate([sets[k] for k in some])
-                at = np.minimum(np.searchsorted(sets[c], every), sizes[c] - 1)
-                common[i : i + 256] = np.add.reduceat((sets[c][at] == every).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                common[i : i + 256] = _common(sets[c], [sets[k] for k in fit[i : i + 256]])
             near = fit[common >= similarity * (sizes[fit] + sizes[c] - common) - 1e-9]
             found += [(ids[c], ids[k]) for k in near]
             queue += near.tolist()
@@ -270,39 +274,127 @@ def shared_shingles(ids: list[int], sets: list[np.ndarray], similarity: float) -
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    hashes = _hashes(text.lower().split(), words, SEED)
+    return np.unique(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
+
+
+def _links(pairs) -> pa.RecordBatch:
+    both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
 def _verified(words: int, similarity: float):
-    """Reads (root, id, text) sorted by root; returns the links of each root's texts that hold by their exact sets of shingles."""
+    """Reads (unit, id, text) sorted by unit; returns the links of each unit's texts that hold by their exact sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, {}
-
-        def close() -> pa.RecordBatch:
-            pairs = shared_shingles(list(held), list(held.values()), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
         for batch in batches:
-            for root, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                if root != last and held:
-                    yield close()
+            for unit, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                if unit != last and held:
+                    yield _links(shared_shingles(list(held), list(held.values()), similarity))
                     held = {}
-                last = root
+                last = unit
                 if i not in held:
-                    hashes = _hashes(x.lower().split(), words, SEED)
-                    held[i] = np.unique(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
+                    held[i] = _shingles(x, words)
         if held:
-            yield close()
+            yield _links(shared_shingles(list(held), list(held.values()), similarity))
+
+    return run
+
+
+def _across(words: int, similarity: float):
+    """Reads (unit, side, id, class, text) sorted by unit and side. Holds a unit's texts of side 0 and compares each of side 1
+    with those of other classes; returns one link that holds for each pair of classes that have any in the unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, met = None, [], set()
+        for batch in batches:
+            found = []
+            for unit, side, i, c, x in zip(*(batch.column(k).to_pylist() for k in range(4)), as_bytes(batch.column(4)), strict=True):
+                if unit != last:
+                    last, held, met = unit, [], set()
+                own = _shingles(x, words)
+                if side == 0:
+                    held.append((i, c, own))
+                    continue
+                fit = [h for h in held if h[1] != c and (h[1], c) not in met and min(len(h[2]), len(own)) >= similarity * max(len(h[2]), len(own)) - 1e-9]
+                if fit:
+                    sizes, common = np.array([len(h[2]) for h in fit]), _common(own, [h[2] for h in fit])
+                    for k in np.flatnonzero(common >= similarity * (sizes + len(own) - common) - 1e-9):
+                        if (fit[k][1], c) not in met:
+                            met.add((fit[k][1], c))
+                            found.append((i, fit[k][0]))
+            yield _links(found)
 
     return run
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+#: Texts, and their bytes, that an exact comparison holds at once; a larger group of candidates is dealt to several.
+UNIT, UNIT_BYTES = 256, 1 << 20
+_SALTS = 64
+
+
+def _units(n: Column, size: Column, unit: int) -> Column:
+    return F.greatest(F.ceil(n / F.lit(unit)), F.ceil(size / F.lit(UNIT_BYTES)), F.lit(1)).cast("int")
+
+
+def _of_root(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """``rows`` with the ``facts`` of their root; the rows of one root meet them in ``_SALTS`` tasks."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["root", "salt"], how).drop("salt")
+
+
+def exact_links(texts: DataFrame, words: int, similarity: float, unit: int = UNIT) -> DataFrame:
+    """``texts``: (root, id, size, text), saved, ids distinct. Links (a, b) that connect just what the pairs of one root with
+    ``similarity`` connect.
+
+    A root of up to ``unit`` texts is compared in one piece. A larger one is dealt twice, at random, into pieces, whose
+    links make classes; then every text outside its root's largest class meets, in tiles of bounded size, all texts of the
+    other classes of its root, so no pair of different classes is left out.
+    """
+    facts = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    large = saved(facts.select("root", _units(F.col("n"), F.col("bytes"), unit).alias("units")).where("units > 1"), "large")
+    deals = F.when(F.col("units").isNull(), F.array(F.xxhash64("root"))).otherwise(F.array(*(F.xxhash64("root", F.lit(d), F.pmod(F.xxhash64("id", F.lit(d)), F.col("units"))) for d in (0, 1))))
+    dealt = _of_root(texts, large, "left").select(F.explode(deals).alias("unit"), "id", "text")
+    found = saved(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verified(words, similarity), "a long, b long"), "exact")
+    if large.isEmpty():
+        return found
+    members = _of_root(texts.select("root", "id", "size"), large, "inner")
+    mine = found.join(members.select(F.col("id").alias("a")), "a", "left_semi")
+    classes = components(mine).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    members = saved(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "members")
+    each = members.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("units").alias("units"))
+    whole = each.groupBy("root").agg(F.max("units").alias("units"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "class")).alias("main"))
+    split = whole.where("n > main.n").select("root", F.col("main.class").alias("main"), _units(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"), unit).alias("others"))
+    split = saved(split, "split")
+    if split.isEmpty():
+        return found
+    open_ = _of_root(members, split, "inner").join(texts.select("id", "text").hint("merge"), "id")
+
+    def part(n: str) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(2)), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def tile(side: int) -> Column:
+        return F.xxhash64("root", "row", "at").alias("unit"), F.lit(side).alias("side"), "id", "class", "text"
+
+    rest = open_.where("class != main").withColumn("row", part("others")).withColumn("at", every("units")).select(*tile(0))
+    all_ = open_.withColumn("at", part("units")).withColumn("row", every("others")).select(*tile(1))
+    more = rest.union(all_).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_across(words, similarity), "a long, b long")
+    return found.union(saved(more, "across"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, unit: int = UNIT) -> DataFrame:
     """The rows of ``docs`` but, of each class of near duplicates, only that of least (doc_id, hash of the row).
 
     Two rows are near duplicates if ``similarity`` of the union of their five-word shingles is common. Candidates are texts
     whose shingle fingerprints lie within 3 bits, found by multi-index hashing, and, as a fingerprint of 64 bits tells
     likeness too roughly for edits in one place, texts that share one of ``BANDS`` bands of min-hashes and differ in at most
-    ``SKETCH`` bits of two sketches each. What candidates connect comes together once, and every link is verified by the exact
-    sets of shingles.
+    ``SKETCH`` bits of two sketches each. What candidates connect is compared by exact sets of shingles (``exact_links``), in
+    pieces of about ``unit`` texts, however large the group.
 
     Null ids come last; of rows that are equal in every column one stays; texts without words, null ones among them, are one
     class; an empty table gives no rows. Columns are unchanged, whatever their names.
@@ -311,18 +403,19 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     h1, h2, k1, k2 = unused(docs.columns, "_h1", "_h2", "_k1", "_k2")
     key = [F.xxhash64(*every).alias(h1), F.hash(*every).alias(h2)]
     keys = [F.xxhash64(*every).alias("h1"), F.hash(*every).alias("h2")]
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *keys, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = saved(_with_minhashes(some, "text", ["doc_id", "h1", "h2", "id"], words), "simhash")
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *keys, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
+    prints = saved(_with_minhashes(some, "text", ["doc_id", "h1", "h2", "id", "size"], words), "simhash")
     least = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h1", "h2")
-    own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("fp", "s0", "s1", "bands"))), "prints")
+    own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("size", "fp", "s0", "s1", "bands"))), "prints")
     near = links(own.select("id", "fp", F.col("fp").alias("chk")), ["fp"])
     banded = own.select(F.posexplode("bands").alias("part", "value"), F.lit(True).alias("own"), "id", F.col("s0").alias("fp"), F.col("s1").alias("chk"))
     met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, None, SKETCH, SKETCH), _FOUND)
     roots = components(saved(met.select("a", "b").union(near), "candidates")).withColumnRenamed("node", "id")
-    some = saved(own.join(roots, "id").select("root", "id", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
+    some = saved(own.join(roots, "id").select("root", "id", "size", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
     # texts are met by a merge at every size: what a few rows would allow is no plan for many
-    texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).join(some.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("root", "id", "text")
-    exact = saved(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_verified(words, similarity), "a long, b long"), "exact")
+    texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).dropDuplicates(["h1", "h2"])
+    texts = texts.join(some.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("root", "id", "size", "text")
+    exact = exact_links(saved(texts, "texts"), words, similarity, unit)
     classes = named(own.select("id", "least"), exact)
     chosen = saved(classes.select(F.col("component_id.h1").alias(k1), F.col("component_id.h2").alias(k2)).distinct(), "kept")
     rows = docs.select(*every, *key)

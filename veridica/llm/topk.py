@@ -1,7 +1,8 @@
 """Exact top-k inner products by tiles (operator 10).
 
 Vectors are quantised to integers, floor(1024 x). Queries go out in blocks of at most ``BLOCK`` rows and
-``BLOCK_BYTES``: each broadcast is of a fixed size, their sum grows with the queries; each pass reads the shards once.
+``BLOCK_BYTES``, one after the other: a block's lists are written, its broadcast is destroyed, and only then the next
+comes to the driver, so memory does not grow with the queries; each pass reads the shards once.
 A tile is a block of queries times
 an Arrow batch of candidates: one matrix product, a partial selection of the k best of each query, merged into the
 list that the task holds. The lists of all tasks merge by a tree: groups of ``FAN`` first, then by query.
@@ -107,18 +108,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK)
     n, dim = asked.agg(F.count("*"), F.max(F.size("q"))).first()
     block = max(1, min(block, BLOCK_BYTES // (8 * max(dim or 1, 1))))
     order = [F.col("query_id"), F.col("score").desc(), F.col("vec_id")]
-    parts = []
-    for b in range(max(1, -(-n // block))):
+    inner = W.partitionBy("node", "query_id").orderBy(*order[1:])
+    near, blocks = None, max(1, -(-n // block))
+    for b in range(blocks):
         # blocks by hash, each within a few deviations of its size
-        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))) == b).toArrow()
+        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         dims = np.array(some["q"].combine_chunks().value_lengths()) if len(some) else np.zeros(0)
         groups = {int(d): (some["vec_id"].to_numpy()[dims == d], _matrix(some["q"].combine_chunks().take(pa.array(np.flatnonzero(dims == d))), int(d))) for d in np.unique(dims)}
-        found = rows.select("vec_id", "q").mapInArrow(_search(spark.sparkContext.broadcast(groups), k), "node long, query_id long, vec_id long, score long")
-        parts.append(found)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    inner = W.partitionBy("node", "query_id").orderBy(*order[1:])
-    near = every.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k).drop("r", "node")
+        shared = spark.sparkContext.broadcast(groups)
+        found = rows.select("vec_id", "q").mapInArrow(_search(shared, k), "node long, query_id long, vec_id long, score long")
+        best = found.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k).drop("r", "node")
+        if blocks > 1:
+            best = saved(best, "top")
+            shared.destroy()
+        near = best if near is None else near.union(best)
     outer = W.partitionBy("query_id").orderBy(*order[1:])
     return near.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
