@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,18 @@ def test_bootstrap_is_deterministic_and_empty(spark):
     assert stats.bootstrap_clustered(d.select(F.lit("c").alias("cluster"), "d"), 5).first().diff == pytest.approx(0)
 
 
+def test_wilcoxon_by_group_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    data = [(g, float(x)) for g, n in (("a", 400), ("b", 7), ("c", 90), (None, 30)) for x in rng.integers(-20, 25, n) / 4] + [("z", 0.0)]
+    got = {r.g: r for r in stats.wilcoxon(spark.createDataFrame(data, "g string, d double").repartition(5), by=["g"]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        d = [x for k, x in data if k == g and x]
+        rank = [sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d]
+        assert (r.n, r.statistic) == (len(d), min(sum(k for k, x in zip(rank, d) if x > 0), sum(k for k, x in zip(rank, d) if x < 0)))
+    assert stats.wilcoxon(spark.createDataFrame([], "d double")).first().n is None
+
+
 def test_wilcoxon_ties(spark):
     d = spark.createDataFrame([(v,) for v in (1.0, -1.0, 2.0, 3.0, 0.0)], "d double")
     r = stats.wilcoxon(d).first()

@@ -24,3 +24,19 @@ def numbered(rows: DataFrame, order: list[Column], out: str = "place") -> DataFr
     before = F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select("_task", (before - F.col("_low") + 1).alias("_shift"))
     return put.join(F.broadcast(shift), task == F.col("_task")).withColumn(out, F.col(out) + F.col("_shift")).drop("_task", "_shift")
+
+
+def cumulated(rows: DataFrame, order: list[Column], value: str, out: str = "up_to") -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` (whole numbers) over the rows up to each in ``order``, which must tell all rows apart.
+
+    As in ``numbered``, a row's sum is that of its task so far and that of the tasks before; a window holds the rows of one
+    task, and one row a task.
+    """
+    if out in rows.columns:
+        raise ValueError(f"there is a column {out} already")
+    put = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "sums")
+    put = put.withColumn("_task", F.shiftright("_at", 33))
+    sums = put.groupBy("_task").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    mine = F.sum(value).over(W.partitionBy("_task").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    return put.withColumn(out, mine).join(F.broadcast(sums.select("_task", before.alias("_before"))), "_task").withColumn(out, F.col(out) + F.col("_before")).drop("_at", "_task", "_before")

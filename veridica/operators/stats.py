@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranking import cumulated
+
 
 #: of 2**32 equally likely numbers those from the k-th entry on give k + 1 or more: the distribution function of Poisson(1)
 POISSON = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11))
@@ -62,13 +64,26 @@ def mcnemar(rows: DataFrame, key: str = "image_id", model: str = "model", correc
 
 def wilcoxon(rows: DataFrame, difference: str = "d", by: list[str] | None = None) -> DataFrame:
     """Signed-rank statistic min(W+, W-) with average ranks of ties, zeros dropped, and z of the normal approximation
-    with tie correction. Equal absolute differences are pre-aggregated; ranks come from their cumulated counts."""
+    with tie correction. Equal absolute differences are pre-aggregated; ranks come from counts cumulated over range
+    partitions, so differences that are all distinct are no window of one task. Sums of ranks are exact decimals."""
     by = by or []
     d = F.col(difference)
     g = rows.where(d != 0).groupBy(*by, F.abs(d).alias("a")).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("up"))
-    w = W.partitionBy(*by).orderBy("a").rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
-    s = g.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"), F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("ties"))
+    g = cumulated(g, [*(F.col(c) for c in by), F.col("a")], "n")
+    # ranks, doubled to be whole, count from the first row of all; what lies before a group is taken off its sums
+    double = (2 * F.col("up_to") - F.col("n") + 1).cast("decimal(19,0)")
+    down = F.col("n") - F.col("up")
+    s = g.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("up").alias("up"), F.min(F.col("up_to") - F.col("n")).alias("before"),
+        F.sum(double * F.col("up").cast("decimal(18,0)")).alias("plus"), F.sum(double * down.cast("decimal(18,0)")).alias("minus"),
+        F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("ties"),
+    )
+
+    def own(total: str, count: Column) -> Column:
+        off = F.col("before").cast("decimal(18,0)") * (2 * count).cast("decimal(19,0)")
+        return (F.col(total) - off).cast("double") / 2
+
+    s = s.withColumn("plus", own("plus", F.col("up"))).withColumn("minus", own("minus", F.col("n") - F.col("up")))
     n = F.col("n").cast("double")
     s = s.withColumn("statistic", F.least("plus", "minus")).withColumn("sd", F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24))
     return s.select(*by, "n", "statistic", F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.col("sd")).alias("z"))
