@@ -219,6 +219,30 @@ def test_shared_shingles_against_brute_force():
     assert {(max(x), min(x)) for x in got} <= set(near) and classes(got) == classes(near)
 
 
+def test_large_buckets_are_linked_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sizes, data = [1, 3, 23, 2, 11, 6, 40], []
+    for v, n in enumerate(sizes):
+        data += [(v % 3, v, True, 100 * v + i, int(rng.integers(0, 1 << 60)), 0) for i in range(n)]
+    data.sort(key=lambda x: x[:2])
+    of = {x[3]: x[4] for x in data}
+    for size in (1, 4, 7, 200):
+        batches = [pa.RecordBatch.from_pylist([dict(zip("pvoifc", x)) for x in data[k : k + size]]) for k in range(0, len(data), size)]
+        got = [(a, b) for x in simhash._buckets(2, 10, 15, 0, star=True)(iter(batches)) for t, _, a, b, _ in zip(*(c.to_pylist() for c in x.columns)) if t == -1]
+        for v, n in enumerate(sizes):
+            here, reached = [x for x in got if x[0] // 100 == v], {100 * v}
+            assert all(b // 100 == v for _, b in here)
+            for _ in range(n):
+                reached |= {y for x in here for y in x if set(x) & reached}
+            if n > 10:
+                assert len(reached) == n, (size, n)
+            else:
+                assert all((of[a] ^ of[b]).bit_count() <= 15 for a, b in here)
+    assert {a // 100 for a, _ in got} >= {2, 4, 6}
+
+
 def test_exact_links_of_groups_larger_than_a_piece(spark):
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(900)]
@@ -543,6 +567,7 @@ def test_op10_odd_rows(spark):
     assert [(r.query_id, r.vec_id) for r in got if r.query_id == 0] == [(0, 200), (0, 1)]
     assert [(r.vec_id, r.score) for r in got if r.query_id == 100] == [(0, -1024 + 2048 * 512), (1, -1024 + 2048 * 512)]
     assert {r.vec_id for r in got} <= {0, 1, 2, 100, 200}
+    assert {r.vec_id for r in topk.top_k(q, q.where("vec_id = 100"), 9).collect()} == {0, 1, 2, 200}
     assert topk.top_k(q.where("false"), q.where("false")).count() == 0
 
 

@@ -107,14 +107,19 @@ def forest(ids: np.ndarray, fps: np.ndarray, chk: np.ndarray, radius: int, chk_r
 _FOUND = "part int, value long, a long, b long, c long"
 
 
-def _buckets(keys: int, heavy: int | None, radius: int, chk_radius: int):
+def _buckets(keys: int, heavy: int | None, radius: int, chk_radius: int, star: bool = False):
     """Reads rows sorted by ``keys`` leading columns; then come own, id, fp, chk. Returns links (part -1, a and b
-    the ids) and the rows of buckets of over ``heavy`` rows (part and value theirs; id, fp, chk)."""
+    the ids) and the rows of buckets of over ``heavy`` rows (part and value theirs; id, fp, chk). With ``star`` the rows of
+    such a bucket are all linked instead, whatever their radii, so that a task holds ``heavy`` rows and a batch of it."""
 
     def out(part, value, a, b, c) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.int64()) for x in (value, a, b, c))], ["part", "value", "a", "b", "c"])
 
     def late(cols) -> pa.RecordBatch:
+        if star:  # the last row of a piece is the first of the next
+            ids = cols[-3]
+            zero = np.zeros(len(ids) - 1, dtype=np.int64)
+            return out(zero - 1, zero, np.full(len(zero), ids[0]), ids[1:], zero)
         return out(cols[0], cols[1], *cols[-3:])
 
     def joined(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +398,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     Two rows are near duplicates if ``similarity`` of the union of their five-word shingles is common. Candidates are texts
     whose shingle fingerprints lie within 3 bits, found by multi-index hashing, and, as a fingerprint of 64 bits tells
     likeness too roughly for edits in one place, texts that share one of ``BANDS`` bands of min-hashes and differ in at most
-    ``SKETCH`` bits of two sketches each. What candidates connect is compared by exact sets of shingles (``exact_links``), in
+    ``SKETCH`` bits of two sketches each (under a band of over ``HEAVY`` texts all are candidates). What candidates connect is compared by exact sets of shingles (``exact_links``), in
     pieces of about ``unit`` texts, however large the group.
 
     Null ids come last; of rows that are equal in every column one stays; texts without words, null ones among them, are one
@@ -409,7 +414,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("size", "fp", "s0", "s1", "bands"))), "prints")
     near = links(own.select("id", "fp", F.col("fp").alias("chk")), ["fp"])
     banded = own.select(F.posexplode("bands").alias("part", "value"), F.lit(True).alias("own"), "id", F.col("s0").alias("fp"), F.col("s1").alias("chk"))
-    met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, None, SKETCH, SKETCH), _FOUND)
+    met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, HEAVY, SKETCH, SKETCH, star=True), _FOUND)
     roots = components(saved(met.select("a", "b").union(near), "candidates")).withColumnRenamed("node", "id")
     some = saved(own.join(roots, "id").select("root", "id", "size", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
     # texts are met by a merge at every size: what a few rows would allow is no plan for many

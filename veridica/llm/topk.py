@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 BLOCK, BLOCK_BYTES, TILE, FAN = 8192, 32 << 20, 2048, 64
+#: no score: true ones beyond a long end at the long's ends, one above it
+_NONE = -(2**63) + 1
 
 
 def quantised(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", scale: int = 1024) -> DataFrame:
@@ -42,7 +44,7 @@ def _scores(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     if not queries.shape[1] or np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * queries.shape[1] < 2**53:
         return (queries @ tile.T).astype(np.int64)
     exact = np.array([[int(v) for v in r] for r in queries], dtype=object) @ np.array([[int(v) for v in r] for r in tile], dtype=object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, _NONE + 1, 2**63 - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +61,6 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return s[keep].reshape(-1, k), i[keep].reshape(-1, k)
 
 
-_NONE = np.iinfo(np.int64).min + 1
-
-
 def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = shared.value  # dim -> (ids, matrix)
