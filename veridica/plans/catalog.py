@@ -981,7 +981,7 @@ def stream_belief_tracking(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.tracking import track
 
     source = new_path(spark, "events")
-    evidence(spark, d).coalesce(1).write.parquet(source)
+    evidence(spark, d).write.parquet(source)  # all its files are one micro-batch, whose rows the fold sorts
     stream = spark.readStream.schema(evidence(spark, d).schema).parquet(source)
     out = new_path(spark, "tracked")
     run = track(stream.select("user_id", "event_id", "belief")).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
