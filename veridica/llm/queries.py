@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import imatch, packing, pii, quality, repair, sampling, secrets, simhash, suffixtree, topk
+from . import imatch, oracles, packing, pii, quality, repair, resample, sampling, secrets, simhash, suffixtree, topk
 from .common import table
 
 
@@ -68,11 +68,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: ``documents`` drawn towards the n-grams of ``benchmark``; a row for every document."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_imatch_fingerprints, op2_simhash_near_dedup, op3_quality_cnn, op4_power_of_two_packing, op5_pii_surrogates,
-        op6_repair_shards, op7_suffix_tree_scores, op8_systematic_mix, op9_secret_scan, op10_exact_top_k,
+        op6_repair_shards, op7_suffix_tree_scores, op8_systematic_mix, op9_secret_scan, op10_exact_top_k, op13_importance_resampling,
     )
 }
 
@@ -114,4 +119,5 @@ p AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 10""",
+    "op13_importance_resampling": oracles.RESAMPLE,
 }
