@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import imatch, oracles, packing, pii, quality, repair, resample, sampling, secrets, simhash, suffixtree, topk
+from . import imatch, minhash, oracles, packing, pii, quality, repair, resample, sampling, secrets, simhash, suffixtree, topk, trie
 from .common import table
 
 
@@ -68,6 +68,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over ``conversations``, rebuilt from heads of others: a row for each node of their prefix trie."""
+    return trie.prefix_trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over ``documents``: doc_id, n_shingles, component_id, kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: ``documents`` drawn towards the n-grams of ``benchmark``; a row for every document."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -77,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_imatch_fingerprints, op2_simhash_near_dedup, op3_quality_cnn, op4_power_of_two_packing, op5_pii_surrogates,
-        op6_repair_shards, op7_suffix_tree_scores, op8_systematic_mix, op9_secret_scan, op10_exact_top_k, op13_importance_resampling,
+        op6_repair_shards, op7_suffix_tree_scores, op8_systematic_mix, op9_secret_scan, op10_exact_top_k, op11_prefix_trie,
+        op12_tensored_minhash, op13_importance_resampling,
     )
 }
 
@@ -119,5 +130,7 @@ p AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 10""",
+    "op11_prefix_trie": oracles.TRIE,
+    "op12_tensored_minhash": oracles.NEAR,
     "op13_importance_resampling": oracles.RESAMPLE,
 }
