@@ -88,8 +88,10 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def dedup_key(topic: Column, text: Column, length: int = 1000) -> Column:
-    return F.sha1(F.concat(topic, F.substring(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", ""), 1, length)))
+def dedup_key(topic: Column, text: Column, length: int | None = None) -> Column:
+    """Of the topic and the letters and digits of the text: all of them, or the first ``length``, for corpora of short units."""
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "")
+    return F.sha1(F.concat(topic, letters if length is None else F.substring(letters, 1, length)))
 
 
 def stage_label(label: Column) -> Column:

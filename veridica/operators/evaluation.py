@@ -117,33 +117,65 @@ def temperature_grid(rows: DataFrame, low: float = 0.05, high: float = 10.0, ste
     return t.groupBy("temperature").agg(F.avg(loss).alias("nll"))
 
 
-def fit_temperature(rows: DataFrame, rounds: int = 3, steps: int = 50, **how: str) -> float:
-    """Grid search on ln T within [0.05, 10], each round between the neighbours of the best so far."""
-    low, high = 0.05, 10.0
-    best = 1.0
-    for _ in range(rounds):
-        found = temperature_grid(rows, low, high, steps, **how).agg(F.min_by("temperature", F.struct("nll", "temperature"))).first()[0]
-        best = 1.0 if found is None else found
-        factor = (high / low) ** (1 / (steps - 1))
-        low, high = max(0.05, best / factor), min(10.0, best * factor)
-    return best
+def fit_temperature(rows: DataFrame, by: str | None = None, low: float = 0.05, high: float = 10.0, most: int = 60, logits: str = "logits", truth: str = "truth") -> dict:
+    """The temperature in [``low``, ``high``] of least mean negative log-likelihood, for each value of ``by`` (or for None).
+
+    In the inverse temperature the loss is convex; its slope and curvature are sums over the rows, one pass a step for all
+    values of ``by`` together, and one row a value comes to the driver. Newton's steps are kept within the bracket that slopes
+    have shown, and halve it where they leave it. At a bound where the slope still points outwards the bound is the answer. A
+    value without rows has none; 1.0 for None without rows.
+    """
+    bounds = (1 / high, 1 / low)
+    at, bracket, done = {}, {}, {}
+    rows = rows.select(*([F.col(by).alias("_by")] if by else [F.lit(None).cast("int").alias("_by")]), F.col(logits).alias("x"), F.col(truth).cast("int").alias("y"))
+    for _ in range(most):
+        beta = F.lit(1.0)
+        for value, b in at.items():
+            beta = F.when(F.col("_by").eqNullSafe(F.lit(value)), b).otherwise(beta)
+        p = vec.softmax(F.transform("x", lambda v: v * F.col("_beta")))
+        made = rows.withColumn("_beta", beta).select("_by", F.element_at("x", F.col("y") + 1).alias("own"), F.struct(vec.dot(p, F.col("x")).alias("m"), vec.dot(p, F.transform("x", lambda v: v * v)).alias("q")).alias("z"))
+        slope, bend = F.avg(F.col("z.m") - F.col("own")), F.avg(F.col("z.q") - F.col("z.m") * F.col("z.m"))
+        for r in made.groupBy("_by").agg(slope.alias("slope"), bend.alias("bend")).collect():
+            value, b = r["_by"], at.get(r["_by"], 1.0)
+            lo, hi = bracket.get(value, bounds)
+            lo, hi = (lo, b) if r.slope > 0 else (b, hi)
+            step = b - r.slope / r.bend if r.bend > 0 else None
+            new = step if step is not None and lo < step < hi else (lo + hi) / 2
+            bracket[value], at[value] = (lo, hi), new
+            done[value] = abs(new - b) <= 1e-12 * b or hi - lo <= 1e-12 * hi
+        if all(done.values()):
+            break
+    found = {v: min(max(1 / b, low), high) for v, b in at.items()}
+    return found if by else {None: found.get(None, 1.0)}
 
 
 def ranking_metrics(top: DataFrame, relevant: DataFrame, k: int = 5, by: tuple[str, ...] = ("scenario_id", "method"), key: str = "chunk_id") -> DataFrame:
     """Precision, recall, nDCG and SIRR at k.
 
     ``top``: (by, key, rank), every list with at least one row; ``relevant``: (scenario_id, key, grade, incompatible).
-    Precision and SIRR divide by k even for shorter lists; recall without relevant ids is 0; the ideal ranking is made
-    of all graded ids.
     """
-    w = W.partitionBy("scenario_id").orderBy(F.col("grade").desc(), key)
-    ideal = relevant.where("grade > 0").withColumn("n", F.row_number().over(w))
-    gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1.0)
-    goal = ideal.groupBy("scenario_id").agg(F.count("*").alias("n_relevant"), F.sum(F.when(F.col("n") <= k, gain(F.col("grade"), F.col("n"))).otherwise(0.0)).alias("idcg"))
-    hits = top.where(F.col("rank") <= k).join(relevant, ["scenario_id", key], "left")
+    return graded_metrics(top.where(F.col("rank") <= k).join(relevant, ["scenario_id", key], "left"), ideals(relevant, ["scenario_id"], k, key), k, by)
+
+
+def _gain(grade: Column, rank: Column) -> Column:
+    return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
+
+
+def ideals(relevant: DataFrame, by: list[str], k: int = 5, key: str = "chunk_id") -> DataFrame:
+    """(by, n_relevant, idcg): the ideal ranking is made of all graded ids; only the first k of a group are ranked."""
+    good = relevant.where("grade > 0")
+    first = good.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy(F.col("grade").desc(), key))).where(F.col("n") <= k)
+    return good.groupBy(*by).agg(F.count("*").alias("n_relevant")).join(first.groupBy(*by).agg(F.sum(_gain(F.col("grade"), F.col("n"))).alias("idcg")), by)
+
+
+def graded_metrics(hits: DataFrame, goals: DataFrame, k: int = 5, by: tuple[str, ...] = ("scenario_id", "method"), on: tuple[str, ...] = ("scenario_id",)) -> DataFrame:
+    """As ``ranking_metrics``, of lists that carry their grades. ``hits``: (by, on, rank, grade, incompatible), null grades: not
+    relevant; ``goals``: ``ideals`` by ``on``, which may be classes that many scenarios share. Precision and SIRR divide by k even
+    for shorter lists; recall without relevant ids is 0."""
     grade = F.coalesce("grade", F.lit(0.0))
-    m = hits.groupBy(*by).agg(F.sum((grade > 0).cast("double")).alias("hits"), F.sum(gain(grade, F.col("rank"))).alias("dcg"), F.sum(F.coalesce("incompatible", F.lit(False)).cast("double")).alias("bad"))
-    m = m.join(goal, "scenario_id", "left")
+    keys = list(dict.fromkeys([*by, *on]))
+    m = hits.where(F.col("rank") <= k).groupBy(*keys).agg(F.sum((grade > 0).cast("double")).alias("hits"), F.sum(_gain(grade, F.col("rank"))).alias("dcg"), F.sum(F.coalesce("incompatible", F.lit(False)).cast("double")).alias("bad"))
+    m = m.join(goals, list(on), "left")
     return m.select(*by, (F.col("hits") / k).alias("precision_at_k"), F.coalesce(F.try_divide("hits", "n_relevant"), F.lit(0.0)).alias("recall_at_k"), F.coalesce(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")), F.lit(0.0)).alias("ndcg_at_k"), (F.col("bad") / k).alias("sirr_at_k"))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+from math import comb
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.scratch import saved
 from .graph import components
 from .ranking import numbered
 
@@ -26,39 +32,151 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(n: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(shift, width) of n bands that cover all bits."""
-    cut = [bits * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+def ball(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` ones."""
+    return [sum(1 << k for k in at) for r in range(radius + 1) for at in combinations(range(width), r)]
+
+
+#: Masks of a ball that one row may be filed under.
+MOST_MASKS = 1000
+
+
+class Segment(NamedTuple):
+    """``radius`` bits may differ in ``width`` bits from ``shift`` on; the two rows of a pair meet half-way, so that one is filed
+    under the ball of radius ``near``, the other under that of radius ``far``."""
+
+    shift: int
+    width: int
+    radius: int
+
+    @property
+    def near(self) -> int:
+        return self.radius // 2
+
+    @property
+    def far(self) -> int:
+        return self.radius - self.near
 
+    def value(self, h: Column) -> Column:
+        return h if self.width == 64 else F.shiftrightunsigned(h, self.shift).bitwiseAND(F.lit((1 << self.width) - 1))
 
-def hamming_pairs(rows: DataFrame, most: int, key: str = "vec_id", h: str = "h") -> DataFrame:
-    """(a, b, distance) of all pairs a < b within ``most`` bits, without a cross join: of most + 1 bands a pair shares one
-    at least, so rows meet by (band, value); a pair counts in the first band that it shares."""
-    cut = bands(most + 1)
-    value = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1))
+
+def segments(most: int, rows: int, bits: int = 64) -> list[Segment]:
+    """Segments of ``bits`` whose radii make every pair within ``most`` bits agree in one: radii plus one add up to ``most`` + 1.
+
+    Few wide segments make few chance meetings and many entries, many narrow ones the opposite; the number is the one that
+    ``rows`` random hashes cost least, an entry counting five times a meeting.
+    """
+    best, least = None, None
+    for n in range(1, min(most + 1, bits) + 1):
+        cut = [bits * k // n for k in range(n + 1)]
+        each, rest = divmod(most + 1, n)
+        found = [Segment(a, b - a, min(each - (k >= rest), b - a)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+        sizes = [[sum(comb(s.width, r) for r in range(x + 1)) for x in (s.near, s.far)] for s in found]
+        cost = sum(5 * rows * (a + b * (s.near != s.far)) + rows * rows * a * b / 2**s.width for s, (a, b) in zip(found, sizes, strict=True))
+        if max(b for _, b in sizes) <= MOST_MASKS and (least is None or cost < least):
+            best, least = found, cost
+    return best
+
+
+def hamming_pairs(rows: DataFrame, most: int, key: str = "vec_id", h: str = "h", count: int | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs a < b within ``most`` bits, without a cross join.
+
+    Multi-index hashing: of a few segments of the hash at least one differs in no more than its radius. In it the row of the
+    lesser key is filed under all values within half the radius, the other under all within the other half; they meet under
+    several values, of which the one that takes over the lowest different bits counts. A pair counts in the first segment
+    that is near enough. ``count``: the number of rows, if known. Rows without hash are in no pair.
+    """
     filed = rows.select(F.col(key).alias("id"), F.col(h).alias("h")).where("h is not null")
-    filed = filed.select("id", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), value(F.col("h"), s, w).alias("v")) for i, (s, w) in enumerate(cut)))).alias("x")).select("id", "h", "x.*")
-    a, b = filed.alias("a"), filed.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id")))
+    cut = segments(most, filed.count() if count is None else count)
+
+    def under(k: int, s: Segment, radius: int) -> Column:
+        masks = F.expr("array(" + ", ".join(f"{m}L" for m in ball(s.width, radius)) + ")")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("segment"), s.value(F.col("h")).bitwiseXOR(m).alias("at")))
+
+    def entries(far: bool, name: str) -> DataFrame:
+        each = [under(k, s, s.far if far else s.near) for k, s in enumerate(cut)]
+        return filed.select("id", "h", F.explode(F.flatten(F.array(*each))).alias("x")).select("id", "h", "x.*").alias(name)
+
+    met = entries(False, "a").join(entries(True, "b"), (F.col("a.segment") == F.col("b.segment")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id")))
     d = hamming(F.col("a.h"), F.col("b.h"))
-    same = [value(F.col("a.h"), s, w) == value(F.col("b.h"), s, w) for s, w in cut]
-    first = F.lit(len(cut))
-    for i in reversed(range(len(cut))):
-        first = F.when(same[i], i).otherwise(first)
-    return met.where((d <= most) & (first == F.col("a.band"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
+    first, half_way = F.lit(len(cut)), F.lit(False)
+    for k, s in reversed(list(enumerate(cut))):
+        x = s.value(F.col("a.h").bitwiseXOR(F.col("b.h")))  # the bits that differ, and of these the ones that the value has from b
+        y = s.value(F.col("a.h")).bitwiseXOR(F.col("a.at"))
+        z = x.bitwiseXOR(y)
+        lowest = (z == 0) | (y < z.bitwiseAND(-z))
+        first = F.when(F.bit_count(x) <= s.radius, k).otherwise(first)
+        half_way = F.when(F.col("a.segment") == k, (F.bit_count(y) == F.least(F.lit(s.near), F.bit_count(x))) & lowest).otherwise(half_way)
+    return met.where((d <= most) & (first == F.col("a.segment")) & half_way).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
+
+
+def hamming_links(rows: DataFrame, most: int, key: str = "vec_id", h: str = "h") -> DataFrame:
+    """(a, b): links that connect just what all pairs within ``most`` bits connect. Rows of one hash are a star, not all pairs."""
+    own = saved(rows.select(F.col(key).alias("id"), F.col(h).alias("h")).where("h is not null"), "hashes")
+    least = saved(own.groupBy("h").agg(F.min("id").alias("id")), "hashes")
+    stars = own.join(least.withColumnRenamed("id", "a"), "h").where("id != a").select("a", F.col("id").alias("b"))
+    return hamming_pairs(least, most, "id").select("a", "b").union(stars)
 
 
 def leak_free_groups(rows: DataFrame, most: int, key: str = "vec_id", parent: str = "parent_image_id", h: str = "h", out: str = "leak_group") -> DataFrame:
     """``rows`` with ``out`` = "g<least key of the component>": near-duplicate hashes and common parents are linked.
 
-    A parent links its members to its least key (a star, not all pairs).
+    A parent, or a hash, links its members to its least key (a star, not all pairs).
     """
-    stars = rows.select(F.col(key).alias("b"), F.min(key).over(W.partitionBy(parent)).alias("a"), F.col(parent).alias("p")).where("p is not null and a < b").select("a", "b")
-    found = components(hamming_pairs(rows, most, key, h).select("a", "b").union(stars))
+    first = rows.where(F.col(parent).isNotNull()).groupBy(parent).agg(F.min(key).alias("a"))
+    stars = rows.select(F.col(key).alias("b"), parent).join(first, parent).where("a < b").select("a", "b")
+    found = components(hamming_links(rows, most, key, h).union(stars))
     return rows.join(found.withColumnRenamed("node", key), key, "left").withColumn(out, F.format_string("g%05d", F.coalesce("root", key))).drop("root")
 
 
+def hierarchy(pairs: DataFrame, thresholds: Iterable[int]) -> dict[int, DataFrame]:
+    """``pairs``: (a, b, distance). For each threshold, (node, root) of all nodes: the components of the pairs within it.
+
+    One forest serves all: from the least threshold up, only pairs that are new at a threshold and tie clusters of the
+    threshold before are joined, as edges between these clusters, so each pair is looked at once.
+    """
+    nodes = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("root", F.col("node")), "forest")
+    out, below = {}, -1
+    for t in sorted(set(thresholds)):
+        new = pairs.where((F.col("distance") > below) & (F.col("distance") <= t)).select("a", "b")
+        ends = [nodes.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+        ties = new.join(ends[0], "a").join(ends[1], "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        up = components(ties).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        nodes = saved(nodes.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "forest")
+        out[t], below = nodes, t
+    return out
+
+
+def audit(rows: DataFrame, splits: DataFrame, thresholds: tuple[int, ...] = (4, 6, 8, 10, 12, 14, 16, 20), key: str = "vec_id", h: str = "h") -> DataFrame:
+    """(threshold, edges, clusters, largest, straddling, cross_pairs, leak_pairs), a row for each threshold; ``splits``: (key, split).
+
+    Pairs are found once, between different hashes, and those of equal hashes are counted, not made; clusters (of two rows or
+    more) are cuts of one forest. leak_pairs: of the pairs across splits, those with a test or validation row.
+    """
+    own = saved(rows.join(splits, key).where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h"), "split").agg(F.count("*").alias("n")), "hashes")
+    pairs = saved(hamming_pairs(own.select("h").distinct().withColumn("id", F.col("h")), max(thresholds), "id"), "pairs")
+
+    def side(x: str) -> DataFrame:
+        return own.select(F.col("h").alias(x), F.col("split").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").select("distance", "sa", "sb", (F.col("na") * F.col("nb")).alias("n"))
+    equal = own.alias("a").join(own.alias("b"), "h").select(F.col("a.split").alias("sa"), F.col("b.split").alias("sb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).where("sa <= sb")
+    equal = equal.select(F.lit(0).alias("distance"), "sa", "sb", F.when(F.col("sa") == F.col("sb"), (F.col("na") * (F.col("na") - 1) / 2).cast("long")).otherwise(F.col("na") * F.col("nb")).alias("n"))
+    cross = F.col("sa") != F.col("sb")
+    leak = cross & (F.col("sa").isin("test", "validation") | F.col("sb").isin("test", "validation"))
+    at = apart.union(equal).groupBy("distance").agg(F.sum("n").alias("edges"), *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x) for c, x in ((cross, "cross_pairs"), (leak, "leak_pairs"))))
+    at = saved(at, "distances")  # at most a row for each number of bits
+    out = None
+    for t, roots in hierarchy(pairs, thresholds).items():
+        size = own.join(roots.withColumnRenamed("node", "h"), "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.sum("n").alias("size"), F.count_distinct("split").alias("splits")).where("size > 1")
+        c = size.agg(F.count("*").alias("clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count_if(F.col("splits") > 1).alias("straddling"))
+        sums = at.where(F.col("distance") <= t).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("edges", "cross_pairs", "leak_pairs")))
+        row = c.join(F.broadcast(sums)).select(F.lit(t).alias("threshold"), "edges", "clusters", "largest", "straddling", "cross_pairs", "leak_pairs")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def group_rank(seed: int, group: Column) -> Column:
     return F.md5(F.encode(F.concat_ws("-", F.lit(str(seed)), group.cast("string")), "UTF-8"))
 
@@ -96,17 +214,15 @@ def assert_no_leakage(rows: DataFrame, groups: list[str], split: str = "split")
 
 def sweep(rows: DataFrame, splits: DataFrame, thresholds: tuple[int, ...], key: str = "vec_id", h: str = "h") -> DataFrame:
     """(threshold, edges, clusters, largest, straddling, cross_pairs, test_validation_pairs): the pairs are found once, at the
-    largest threshold, and filtered; ``splits``: (key, split)."""
-    from ..sources.scratch import saved
-
+    largest threshold, and clusters are cuts of one forest; ``splits``: (key, split)."""
     pairs = saved(hamming_pairs(rows, max(thresholds), key, h))
     side = lambda n: splits.select(F.col(key).alias(n), F.col("split").alias(f"s{n}"))
     both = saved(pairs.join(side("a"), "a").join(side("b"), "b"))
-    out = None
+    out, roots = None, hierarchy(pairs, thresholds)
     for t in thresholds:
         near = both.where(F.col("distance") <= t)
         counts = near.agg(F.count("*").alias("edges"), F.count_if(F.col("sa") != F.col("sb")).alias("cross_pairs"), F.count_if((F.least("sa", "sb") == "test") & (F.greatest("sa", "sb") == "validation")).alias("test_validation_pairs"))
-        c = components(near).join(splits.withColumnRenamed(key, "node"), "node").groupBy("root").agg(F.count("*").alias("size"), F.count_distinct("split").alias("splits"))
+        c = roots[t].join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").join(splits.withColumnRenamed(key, "node"), "node").groupBy("root").agg(F.count("*").alias("size"), F.count_distinct("split").alias("splits"))
         c = c.agg(F.count("*").alias("clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count_if(F.col("splits") > 1).alias("straddling"))
         row = counts.join(F.broadcast(c)).select(F.lit(t).alias("threshold"), "edges", "clusters", "largest", "straddling", "cross_pairs", "test_validation_pairs")
         out = row if out is None else out.union(row)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import saved
@@ -41,15 +41,32 @@ def retrieval_significance(metrics: DataFrame, candidate: str, baselines: list[s
     method are not compared. ``significant``: the interval excludes 0; ``favors``: the candidate or the baseline, turned round
     for metrics of which less is better, "neither" for a difference of 0.
     """
-    of = lambda c, m: F.max(F.when(F.col("method") == m, F.col(c)))
-    wide = metrics.groupBy("scenario_id").agg(*(of(c, m).alias(f"{c}__{m}") for c in columns for m in (candidate, *baselines)))
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.lit(m).alias("baseline"), (F.col(f"{c}__{candidate}") - F.col(f"{c}__{m}")).alias("d")) for c in columns for m in baselines)))
-    long = saved(wide.select("scenario_id", cells.alias("x")).select("scenario_id", "x.*"), "differences")
+    long = _differences(metrics, candidate, baselines, columns, ["scenario_id"])
     out = stats.bootstrap(long, replicates, key="scenario_id", by=["metric", "baseline"])
     gain = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -F.round("diff", 9)).otherwise(F.round("diff", 9))
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0)).withColumn("favors", F.when(gain > 0, candidate).when(gain < 0, F.col("baseline")).otherwise("neither"))
 
 
+def _differences(metrics: DataFrame, candidate: str, baselines: list[str], columns: list[str], keys: list[str]) -> DataFrame:
+    """(keys, metric, baseline, d), written: a scenario's methods meet in one row."""
+    of = lambda c, m: F.max(F.when(F.col("method") == m, F.col(c)))
+    wide = metrics.groupBy(*keys).agg(*(of(c, m).alias(f"{c}__{m}") for c in columns for m in (candidate, *baselines)))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.lit(m).alias("baseline"), (F.col(f"{c}__{candidate}") - F.col(f"{c}__{m}")).alias("d")) for c in columns for m in baselines)))
+    return saved(wide.select(*keys, cells.alias("x")).select(*keys, "x.*"), "differences")
+
+
+def clustered_significance(metrics: DataFrame, cluster: Column, candidate: str, baselines: list[str], columns: list[str], replicates: int = 1000) -> DataFrame:
+    """(metric, baseline, images, scenarios, diff, low, high, p, p_holm): as ``retrieval_significance``, but scenarios of one
+    ``cluster`` (an expression over scenario_id: the image that they were made of) are drawn together, and p is adjusted by Holm
+    over all metrics and baselines, which are few."""
+    long = _differences(metrics.withColumn("cluster", cluster), candidate, baselines, columns, ["scenario_id", "cluster"])
+    by = ["metric", "baseline"]
+    out = stats.bootstrap_clustered(long, replicates, by=by)
+    sizes = long.where("d is not null").groupBy(*by).agg(F.count_distinct("cluster").alias("images"), F.count("*").alias("scenarios"))
+    named = out.join(sizes, by).withColumn("_test", F.concat_ws(" ", *by))
+    return stats.holm(named, "p", "_test").drop("_test").select(*by, "images", "scenarios", "diff", "low", "high", "p", "p_holm")
+
+
 def model_accuracy(rows: DataFrame, key: str = "image_id", replicates: int = 1000) -> DataFrame:
     """(model, diff, low, high, p): a model's share of right answers with its interval. ``rows``: (key, model, correct)."""
     return stats.bootstrap(rows.select(key, "model", F.col("correct").cast("double").alias("d")), replicates, key=key, by=["model"])

@@ -8,6 +8,8 @@ a term and document, and a query's candidates never meet in one task before the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,12 +80,21 @@ def _open(topic: str) -> Column:
 
 
 def eligible(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", general: str = GENERAL_TOPIC) -> DataFrame:
-    """(query_id, key) of all chunks that a query of a topic may return. Rankings do not make this table: they test ``allowed``."""
+    """(query_id, key) of all chunks that a query of a topic may return, for listings: rankings and counts do not make this table."""
     q = allowed(chunks, queries, general).select("query_id", F.explode_outer("allowed").alias("_topic"))
     c = chunks.select(key, "topic")
     return c.join(q, F.col("_topic").isNull() | (F.col("topic") == F.col("_topic"))).select("query_id", key).distinct()
 
 
+def eligible_counts(chunks: DataFrame, queries: DataFrame, general: str = GENERAL_TOPIC) -> DataFrame:
+    """(query_id, n): how many chunks a query of a topic may return, from the counts of topics."""
+    have = chunks.groupBy(F.col("topic").alias("_topic")).agg(F.count("*").alias("_n"))
+    asked = allowed(chunks, queries, general).select("query_id", "allowed")
+    some = asked.select("query_id", F.explode(F.array_distinct("allowed")).alias("_topic")).join(have, "_topic").groupBy("query_id").agg(F.sum("_n").alias("n"))
+    every = asked.where("allowed is null").join(F.broadcast(have.agg(F.sum("_n").alias("n")))).select("query_id", "n")
+    return some.union(every)
+
+
 def ranked(scores: DataFrame, score: str, depth: int | None, out: str, by: str = "query_id", key: str = "chunk_id", ties: list[Column] | None = None) -> DataFrame:
     """Adds ``out``, the place from 1 in descending score; keeps ``depth`` of each query."""
     w = W.partitionBy(by).orderBy(F.col(score).desc(), *(ties or [F.col(key)]))
@@ -109,24 +120,57 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, depth: int = 50, key: str =
     return ranked(both, "bm25", depth, "bm25_rank", key=key)
 
 
-def unit(x: Column) -> Column:
-    """Divided by its length; a zero vector stays."""
-    norm = F.sqrt(vec.total(F.transform(x, lambda v: v * v)))
-    return F.transform(x, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+#: Vectors and queries that meet in one task.
+TILE, ASKED = 1 << 14, 256
+
 
+def dense_top(vectors: DataFrame, queries: DataFrame, depth: int = 50, key: str = "chunk_id", tile: int = TILE, asked: int = ASKED) -> DataFrame:
+    """(query_id, key, cosine, dense_rank): the best vectors of each query; of a topic in ``allowed``, if ``queries`` have that.
 
-def dense_top(vectors: DataFrame, queries: DataFrame, depth: int = 50, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, cosine, dense_rank). ``queries`` (with ``allowed``, if ``vectors`` have a topic that must be in it) is the
-    stated set: it is sent to every task, so callers pass it in blocks of bounded size. A task scores its vectors against them
-    and hands on its ``depth`` best of each query only."""
+    Vectors and queries are dealt to blocks of about ``tile`` and ``asked`` rows; every block of vectors meets every block of
+    queries in a task of its own, as one matrix product, and hands on its ``depth`` best of each query. So memory is bounded by
+    two blocks and their product whatever the number of either. Vectors that are null, or hold null or non-finite values,
+    take no part; a zero vector is like nothing.
+    """
     limited = "allowed" in queries.columns
-    q = queries.select("query_id", unit(F.col("query_vector").cast("array<double>")).alias("_q"), *(["allowed"] if limited else []))
-    v = vectors.select(key, unit(F.col("vector").cast("array<double>")).alias("_v"), *(["topic"] if limited else []))
-    met = v.join(F.broadcast(q), _open("topic")) if limited else v.join(F.broadcast(q))
-    scored = met.select("query_id", key, F.round(vec.dot(F.col("_q"), F.col("_v")), 6).alias("cosine"))
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
+    v = vectors.where(whole("vector")).select(key, F.col("vector").cast("array<double>").alias("vector"), *(["topic"] if limited else []))
+    q = queries.where(whole("query_vector")).select("query_id", F.col("query_vector").cast("array<double>").alias("vector"), *(["allowed"] if limited else []))
+    n, m = max(1, -(-v.count() // tile)), max(1, -(-q.count() // asked))
+
+    def dealt(rows: DataFrame, by: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def best(of_v: pa.Table, of_q: pa.Table) -> pa.Table:
+        a, b = (_units(t.column("vector")) for t in (of_q, of_v))
+        found: dict = {"query_id": [], key: [], "cosine": []}
+        if len(a) and len(b):
+            s = np.round(a @ b.T, 6) + 0.0
+            topics = np.array(of_v.column("topic").to_pylist(), dtype=object) if limited else None
+            keys = of_v.column(key).to_pylist()
+            for i, query in enumerate(of_q.column("query_id").to_pylist()):
+                may = of_q.column("allowed")[i].as_py() if limited else None
+                at = np.flatnonzero(np.isin(topics, may)) if may is not None else np.arange(len(b))
+                if len(at) > depth:
+                    at = at[s[i, at] >= np.partition(s[i, at], len(at) - depth)[len(at) - depth]]
+                for k in sorted(at.tolist(), key=lambda k: (-s[i, k], keys[k]))[:depth]:
+                    found["query_id"].append(query)
+                    found[key].append(keys[k])
+                    found["cosine"].append(float(s[i, k]))
+        return pa.table({"query_id": pa.array(found["query_id"], of_q.schema.field("query_id").type), key: pa.array(found[key], of_v.schema.field(key).type), "cosine": pa.array(found["cosine"], pa.float64())})
+
+    left, right = dealt(v, key, "_v", n, "_q", m).groupBy("_v", "_q"), dealt(q, "query_id", "_q", m, "_v", n).groupBy("_v", "_q")
+    types = {f.name: f.dataType.simpleString() for f in (*v.schema.fields, *q.schema.fields)}
+    scored = left.cogroup(right).applyInArrow(best, ", ".join([f"query_id {types['query_id']}", f"{key} {types[key]}", "cosine double"]))
     return ranked(scored, "cosine", depth, "dense_rank", key=key)
 
 
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    x = np.array(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), -1 if len(vectors) else 0)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def fuse(lexical: DataFrame, dense: DataFrame, key: str = "chunk_id", k0: int = K0) -> DataFrame:
     """Reciprocal rank fusion: (query_id, key, rrf, bm25_rank, dense_rank)."""
     none = F.lit(None).cast("int")

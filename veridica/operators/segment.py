@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..schema import N_STAGES, NEIGHBOUR, MENTIONED, UNSTAGED
+from ..schema import MENTIONED, N_STAGES, NEIGHBOUR, UNSTAGED
+from .ranking import numbered
 
 # Tags and class or id tokens whose subtree is skipped; tags of headings and of text.
 BLOCK_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "select", "noscript", "iframe", "button"}
@@ -232,15 +233,21 @@ def focused(rows: DataFrame, lexicon: Lexicon, text: str = "text", topic: str =
 
 
 def dedup_number(rows: DataFrame, source: str = "source_id", position: str = "position", text: str = "text", topic: str = "topic") -> DataFrame:
-    """Per source the first of equal (topic, letters and digits of the text), numbered "<source>_C%04d".
+    """Per source the first of equal (topic, letters and digits of the whole text), numbered "<source>_C%04d" in ``position``.
 
-    First rows come from a window over (source, key); numbering then needs a source's rows in order, as their numbers do.
+    Firsts are aggregates, combined before the exchange, so copies never gather in a task. Numbers are places in one order of
+    all rows, of range partitions, less those before the source: a source of any size is many tasks. Rows of one position are
+    ordered by their keys; a null source is a source without a name, whose ids are null.
     """
-    keyed = rows.withColumn("_k", X.dedup_key(F.col(topic), F.col(text)))
-    w = W.partitionBy(source, "_k").orderBy(position)
-    first = keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
-    number = F.row_number().over(W.partitionBy(source).orderBy(position))
-    return first.withColumn("chunk_id", F.concat(F.col(source), F.lit("_C"), F.lpad(number.cast("string"), 4, "0")))
+    every = [c for c in rows.columns if c != "chunk_id"]
+    keyed = rows.select(*every).withColumn("_k", X.dedup_key(F.col(topic), F.col(text)))
+    first = F.min_by(F.struct(*every), F.struct(position, F.xxhash64(*every))).alias("_row")
+    kept = keyed.groupBy(F.col(source).alias("_s"), "_k").agg(first).select("_s", "_k", "_row.*")
+    put = numbered(kept, [F.col("_s"), F.col(position), F.col("_k")], "_n")
+    starts = put.groupBy(F.col("_s").alias("_of")).agg(F.min("_n").alias("_low"))
+    put = put.join(starts, F.col("_s").eqNullSafe(F.col("_of")))
+    number = F.format_string("%04d", F.col("_n") - F.col("_low") + 1)
+    return put.withColumn("chunk_id", F.concat("_s", F.lit("_C"), number)).drop("_s", "_of", "_k", "_n", "_low")
 
 
 def page_filter(page: Column, ranges: Column) -> Column:

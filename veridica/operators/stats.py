@@ -105,10 +105,11 @@ def bootstrap(differences: DataFrame, replicates: int = 1000, seed: int = 42, va
     return _resampled(differences.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("id"), F.col(value).cast("double").alias("s"), F.lit(1).alias("k")), replicates, seed, by)
 
 
-def bootstrap_clustered(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", cluster: str = "cluster") -> DataFrame:
+def bootstrap_clustered(differences: DataFrame, replicates: int = 1000, seed: int = 42, value: str = "d", cluster: str = "cluster", by: list[str] | None = None) -> DataFrame:
     """As ``bootstrap``, drawing whole clusters: the mean is a ratio of pooled sums, so clusters are reduced to (sum, count)."""
-    units = differences.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("id")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("k"))
-    return _resampled(units, replicates, seed)
+    by = by or []
+    units = differences.where(F.col(value).isNotNull()).groupBy(*by, F.col(cluster).alias("id")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("k"))
+    return _resampled(units, replicates, seed, by)
 
 
 def _resampled(units: DataFrame, replicates: int, seed: int, by: list[str] | None = None) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import vec
-from ..operators import corpus, evaluation, manifest, neardup, retrieval, segment, stats, temporal
+from ..operators import corpus, evaluation, index, manifest, neardup, retrieval, segment, stats, temporal
 from ..operators.ranking import numbered
 from ..schema import N_STAGES, STAGE_NAMES
 from ..sources import views
+from ..sources.scratch import new_path
 from .oracle_views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,10 +209,28 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.term_stats(retrieval.postings(c), retrieval.doc_stats(c)).select("term", "df", r6("idf", "idf"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    """The stored index of the chunks of ``d``, written by the first query of an application that needs it."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _INDEXES:
+        _INDEXES[known] = index.build(views.chunks(spark, d), new_path(spark, "index"))
+    return _INDEXES[known]
+
+
+@query("SELECT term, topic, count(*) AS n, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lengths)))), 6) AS top FROM posts JOIN (SELECT chunk_id, topic FROM chunks) USING (chunk_id) GROUP BY ALL", "posts", "chunks", "lengths")
+def index_levels(spark: SparkSession, d: str) -> DataFrame:
+    """An index written anew; postings and highest impact of each term and topic from its levels."""
+    path = index.build(views.chunks(spark, d), new_path(spark, "index"))
+    return index.read(spark, path, "levels").groupBy("term", "topic").agg(F.sum("n").alias("n"), r6(F.max("top"), "top"))
+
+
 @query("SELECT query_id, chunk_id, bm25, bm25_rank FROM lexical WHERE bm25_rank <= 10", "lexical")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks without a common term are kept at score 0."""
-    return retrieval.bm25_top(views.chunks(spark, d), views.topic_queries(spark, d), 10)
+    """From the stored index; chunks without a common term are kept at score 0."""
+    return index.top(spark, _index(spark, d), views.topic_queries(spark, d), 10)
 
 
 @query("""
@@ -218,7 +238,7 @@ SELECT query_id, count(*) AS n FROM (SELECT q.query_id, c.chunk_id FROM queries
 def bm25_by_topic_fallback(spark: SparkSession, d: str) -> DataFrame:
     """a topic that no chunk has falls back to the general one."""
     q = views.topic_queries(spark, d).withColumn("topic", F.lit("unheard_of"))
-    return retrieval.eligible(views.chunks(spark, d), q).groupBy("query_id").agg(F.count("*").alias("n"))
+    return retrieval.eligible_counts(views.chunks(spark, d), q)
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -241,7 +261,17 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(retrieval.bm25_top(views.chunks(spark, d), views.topic_queries(spark, d)), _dense(spark, d, 50))
+    return retrieval.fuse(index.top(spark, _index(spark, d), views.topic_queries(spark, d)), _dense(spark, d, 50))
+
+
+def _expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Fused rankings of queries that name the predicted stage, in their text and as a one in their vector."""
+    c, q, v = _vectors(spark, d)
+    b = views.beliefs(spark, d).select(F.col("vec_id").alias("query_id"), "predicted")
+    stage = views.pick(STAGE_NAMES, F.col("predicted"))
+    moved = F.transform("query_vector", lambda x, i: x.cast("double") + (i == F.col("predicted")).cast("double"))
+    q = q.join(b, "query_id").select("query_id", "topic", X.topic_query(F.col("topic"), stage, F.lit("en")).alias("query"), moved.alias("query_vector"))
+    return retrieval.fuse(index.top(spark, _index(spark, d), q), retrieval.dense_top(v, retrieval.allowed(c, q)))
 
 
 @query("SELECT query_id, chunk_id, round(rrf, 9) AS rrf, bm25_rank, dense_rank FROM fused", "fused")
@@ -370,21 +400,39 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 _STEP = " + ".join("f[{}] * m[{}][k + 1]".format(i + 1, i + 1) for i in range(6))
 
 
-@query(f"""
-WITH RECURSIVE e AS MATERIALIZED ({_EVIDENCE}),
+_FOLD = f"""
 m AS (SELECT {[[round(v, 15) for v in row] for row in vec.transition_matrix(6)]}::DOUBLE[][] AS m),
-t(user_id, pos, f) AS (
-  SELECT user_id, pos, b FROM e WHERE pos = 1
+t(series, pos, f) AS (
+  SELECT series, pos, b FROM e WHERE pos = 1
   UNION ALL
-  SELECT user_id, pos, [x / list_sum(z) FOR x IN z] FROM (
-    SELECT user_id, pos, [exp(s - list_max(q)) FOR s IN q] AS z FROM (
-      SELECT user_id, pos, [ln(least(greatest(x[1] / list_sum(prior), 1e-9), 1)) + ln(least(greatest(x[2], 1e-9), 1)) FOR x IN list_zip(prior, b)] AS q FROM (
-        SELECT t.user_id, e.pos, e.b, [{_STEP} FOR k IN range(6)] AS prior FROM t JOIN e ON e.user_id = t.user_id AND e.pos = t.pos + 1, m))))
-SELECT user_id, (pos - 1)::INTEGER AS pos, {flat_sql('f', 6, 'p')} FROM t""")
+  SELECT series, pos, [x / list_sum(z) FOR x IN z] FROM (
+    SELECT series, pos, [exp(s - list_max(q)) FOR s IN q] AS z FROM (
+      SELECT series, pos, [ln(least(greatest(x[1] / list_sum(prior), 1e-9), 1)) + ln(least(greatest(x[2], 1e-9), 1)) FOR x IN list_zip(prior, b)] AS q FROM (
+        SELECT t.series, e.pos, e.b, [{_STEP} FOR k IN range(6)] AS prior FROM t JOIN e ON e.series = t.series AND e.pos = t.pos + 1, m))))"""
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS series, pos, b FROM ({_EVIDENCE})), {_FOLD}
+SELECT series AS user_id, (pos - 1)::INTEGER AS pos, {flat_sql('f', 6, 'p')} FROM t""")
 def temporal_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Beliefs of each user fused in order."""
+    """Beliefs of each user fused in order; a long series is many tasks."""
     t = temporal.tracks(evidence(spark, d), "user_id", ["ts", "event_id"])
-    return t.select("user_id", "pos", *flat("fused", 6, "p"))
+    return t.select("user_id", F.col("pos").cast("int").alias("pos"), *flat("fused", 6, "p"))
+
+
+@query(f"""
+, e AS MATERIALIZED (SELECT series, truth, belief AS b, row_number() OVER (PARTITION BY series ORDER BY truth, md5(series || '-' || vec_id), vec_id) AS pos FROM beliefs, range(20) r(series)), {_FOLD},
+d AS (SELECT series, abs(list_position(f, list_max(f)) - 1 - truth) AS off FROM t JOIN e USING (series, pos)),
+g AS (SELECT series, avg((off = 0)::INT) AS accuracy, avg(off) AS masd, sum((off >= 2)::INT) AS non_adjacent, sum((off = 1)::INT) AS adjacent FROM d GROUP BY 1)
+SELECT 'single' AS kind, round(avg((truth = predicted)::INT), 6) AS accuracy, round(avg(abs(truth - predicted)), 6) AS masd, sum((abs(truth - predicted) >= 2)::INT)::DOUBLE AS non_adjacent, sum((abs(truth - predicted) = 1)::INT)::DOUBLE AS adjacent FROM beliefs
+UNION ALL SELECT 'fused', round(avg(accuracy), 6), round(avg(masd), 6), round(avg(non_adjacent), 6), round(avg(adjacent), 6) FROM g""", "beliefs")
+def temporal_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of single beliefs, and of fused ones as a mean over 20 orders of the season."""
+    b = views.beliefs(spark, d)
+    mean = temporal.over_orders(b, "vec_id", "truth").agg(*(r6(F.avg(c), c) for c in ("accuracy", "masd", "non_adjacent", "adjacent")))
+    off = F.abs(F.col("truth") - F.col("predicted"))
+    single = b.agg(r6(F.avg((off == 0).cast("int")), "accuracy"), r6(F.avg(off), "masd"), F.count_if(off >= 2).cast("double").alias("non_adjacent"), F.count_if(off == 1).cast("double").alias("adjacent"))
+    return single.select(F.lit("single").alias("kind"), "*").union(mean.select(F.lit("fused").alias("kind"), "*"))
 
 
 # ---------------------------------------------------------------- classification and calibration
@@ -499,27 +547,31 @@ _SCENARIO = """
 ok AS (SELECT scenario_id FROM rel GROUP BY 1 HAVING sum((grade >= 0.5)::INT) >= 3 AND sum(incompatible::INT) >= 3)"""
 
 
-def _relevance(spark: SparkSession, d: str) -> DataFrame:
-    """(scenario_id, chunk_id, grade, incompatible) of answerable scenarios: chunk sets depend on (topic, stage) only, so they
-    are made once for each pair and scenarios are joined to them."""
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    """(topic, truth, chunk_id, grade) of answerable classes: what is relevant to a scenario depends on its topic and stage alone."""
     c = views.chunks(spark, d).select("topic", "chunk_id", F.posexplode("stage_compatibility").alias("truth", "grade"))
-    ok = c.groupBy("topic", "truth").agg(F.count_if(F.col("grade") >= 0.5).alias("r"), F.count_if(F.col("grade") == 0).alias("i")).where("r >= 3 and i >= 3").select("topic", "truth")
-    s = views.topic_queries(spark, d).join(views.beliefs(spark, d).select(F.col("vec_id").alias("query_id"), "truth"), "query_id").join(ok, ["topic", "truth"])
-    return s.select(F.col("query_id").alias("scenario_id"), "topic", "truth").join(c, ["topic", "truth"]).select("scenario_id", "chunk_id", "grade", (F.col("grade") == 0).alias("incompatible"))
+    ok = c.groupBy("topic", "truth").agg(F.count_if(F.col("grade") >= 0.5).alias("r"), F.count_if(F.col("grade") == 0).alias("i")).where("r >= 3 and i >= 3")
+    return c.join(F.broadcast(ok.select("topic", "truth")), ["topic", "truth"])  # as many as topics times stages
+
+
+def _scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, topic, truth)."""
+    return views.topic_queries(spark, d).select("query_id", "topic").join(views.beliefs(spark, d).select(F.col("vec_id").alias("query_id"), "truth"), "query_id")
 
 
 @query(_SCENARIO + "SELECT scenario_id, sum((grade >= 0.5)::INT)::BIGINT AS relevant, sum(incompatible::INT)::BIGINT AS incompatible, string_agg(chunk_id, '|' ORDER BY chunk_id) FILTER (WHERE grade >= 0.8) AS ids FROM rel JOIN ok USING (scenario_id) GROUP BY 1", "beliefs", "queries", "chunks")
 def scenario_build(spark: SparkSession, d: str) -> DataFrame:
-    """A36, J05, F21, F22."""
-    r = _relevance(spark, d)
-    return r.groupBy("scenario_id").agg(F.count_if(F.col("grade") >= 0.5).alias("relevant"), F.count_if("incompatible").alias("incompatible"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("grade") >= 0.8, F.col("chunk_id")))), "|").alias("ids"))
+    """A class is summed once, and scenarios take it over."""
+    ids = F.array_join(F.array_sort(F.collect_list(F.when(F.col("grade") >= 0.8, F.col("chunk_id")))), "|")
+    sums = _classes(spark, d).groupBy("topic", "truth").agg(F.count_if(F.col("grade") >= 0.5).alias("relevant"), F.count_if(F.col("grade") == 0).alias("incompatible"), ids.alias("ids"))
+    return _scenarios(spark, d).join(sums, ["topic", "truth"]).select(F.col("query_id").alias("scenario_id"), "relevant", "incompatible", "ids")
 
 
 _METHODS = {"B0": "base AS score, true AS ok", "B2": "base AS score, NOT restricted_action AND compat[predicted + 1] > 0 AS ok", "B3": "(0.70 * base + 0.20 * list_dot_product(belief, compat) + 0.10 * authority_score) AS score, NOT restricted_action AS ok",
     "P": f"((0.90 - {_ADAPTIVE.format(c='confidence')}) * base + {_ADAPTIVE.format(c='confidence')} * list_dot_product(belief, compat) + 0.10 * authority_score) AS score, NOT restricted_action AS ok",
     "oracle": "(0.55 * base + 0.35 * compat[truth + 1] + 0.10 * authority_score) AS score, NOT restricted_action AS ok"}
 _TOP = _SCENARIO + ", top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY method, scenario_id ORDER BY score DESC, bm25_rank NULLS LAST, dense_rank NULLS LAST, chunk_id) AS rank FROM (" + " UNION ALL ".join(
-    f"SELECT query_id AS scenario_id, '{m}' AS method, chunk_id, bm25_rank, dense_rank, round(score, 6) AS score FROM (SELECT *, {s} FROM asked) WHERE ok AND query_id IN (SELECT scenario_id FROM ok)" for m, s in _METHODS.items()) + ") QUALIFY rank <= 5)"
+    f"SELECT query_id AS scenario_id, '{m}' AS method, chunk_id, bm25_rank, dense_rank, round(score, 6) AS score FROM (SELECT *, {s} FROM {t}) WHERE ok AND query_id IN (SELECT scenario_id FROM ok)" for m, s, t in [*((m, s, "asked") for m, s in _METHODS.items()), ("B1", _METHODS["B0"], "asked_x")]) + ") QUALIFY rank <= 5)"
 _METRICS = _TOP + """,
 ideal AS (SELECT scenario_id, count(*) AS n_rel, sum(CASE WHEN n <= 5 THEN (pow(2, grade) - 1) / log2(n + 1) ELSE 0 END) AS idcg
   FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY grade DESC, chunk_id) AS n FROM rel WHERE grade > 0) GROUP BY 1),
@@ -529,8 +581,10 @@ met AS MATERIALIZED (SELECT t.scenario_id, method, sum((coalesce(grade, 0) > 0):
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    """(scenario_id, method, chunk_id, rank): the base query is scored once, methods are variants of its score."""
-    a = _asked(spark, d).join(_relevance(spark, d).select(F.col("scenario_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    """(scenario_id, method, topic, truth, chunk_id, rank, grade, incompatible): the base query is scored once, and methods are
+    variants of its score; one method asks with the predicted stage in its query and ranks by that alone."""
+    scenarios = _scenarios(spark, d).join(_classes(spark, d).select("topic", "truth").distinct(), ["topic", "truth"], "left_semi")
+    a = _asked(spark, d).join(scenarios.select("query_id"), "query_id", "left_semi")
     fit, open_ = vec.dot(F.col("belief"), F.col("stage_compatibility")), ~F.col("restricted_action")
     beta = 0.05 + (0.35 - 0.05) * vec.clip(F.col("confidence"), 0.0, 1.0)
     base, authority = F.col("base"), 0.10 * F.col("authority_score")
@@ -538,23 +592,29 @@ def _top(spark: SparkSession, d: str) -> DataFrame:
     truth = F.element_at("stage_compatibility", F.col("truth") + 1)
     kinds = {"B0": (base, F.lit(True)), "B2": (base, open_ & predicted), "B3": (0.70 * base + 0.20 * fit + authority, open_), "P": ((0.90 - beta) * base + beta * fit + authority, open_), "oracle": (0.55 * base + 0.35 * truth + authority, open_)}
     options = F.explode(F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(m).alias("method"), F.round(s, DIGITS).alias("score"))) for m, (s, ok) in kinds.items()))))
-    long = a.select(F.col("query_id").alias("scenario_id"), "chunk_id", "bm25_rank", "dense_rank", options.alias("o")).select("scenario_id", "chunk_id", "bm25_rank", "dense_rank", "o.*")
-    w = W.partitionBy("method", "scenario_id").orderBy(F.col("score").desc(), *retrieval.ties())
-    return long.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("scenario_id", "method", "chunk_id", "rank")
+    cols = ["query_id", "chunk_id", "bm25_rank", "dense_rank"]
+    long = a.select(*cols, options.alias("o")).select(*cols, "o.*")
+    expanded = retrieval.minmax(_expanded(spark, d), "rrf").join(scenarios.select("query_id"), "query_id", "left_semi")
+    long = long.union(expanded.select(*cols, F.lit("B1"), r6("base")))
+    w = W.partitionBy("method", "query_id").orderBy(F.col("score").desc(), *retrieval.ties())
+    top = long.withColumn("rank", F.row_number().over(w)).where("rank <= 5").join(scenarios, "query_id")
+    graded = top.join(views.chunks(spark, d).select("chunk_id", F.col("topic").alias("_topic"), "stage_compatibility"), "chunk_id")
+    grade = F.when(F.col("topic") == F.col("_topic"), F.element_at("stage_compatibility", F.col("truth") + 1))
+    return graded.select(F.col("query_id").alias("scenario_id"), "method", "topic", "truth", "chunk_id", "rank", grade.alias("grade"), (grade == 0).alias("incompatible"))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.ranking_metrics(_top(spark, d), _relevance(spark, d))
+    return evaluation.graded_metrics(_top(spark, d), evaluation.ideals(_classes(spark, d), ["topic", "truth"]), on=("topic", "truth"))
 
 
-@query(_METRICS + "SELECT scenario_id, method, round(p, 6) AS precision_at_k, round(r, 6) AS recall_at_k, round(g, 6) AS ndcg_at_k, round(s, 6) AS sirr_at_k FROM met", "asked", "beliefs", "queries", "chunks")
+@query(_METRICS + "SELECT scenario_id, method, round(p, 6) AS precision_at_k, round(r, 6) AS recall_at_k, round(g, 6) AS ndcg_at_k, round(s, 6) AS sirr_at_k FROM met", "asked", "asked_x", "beliefs", "queries", "chunks")
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """A24, A25, J12 for five methods."""
+    """A24, A25, J12 for six methods."""
     m = _metrics(spark, d)
     return m.select("scenario_id", "method", *(r6(c, c) for c in m.columns[2:]))
 
 
-@query(_METRICS + "SELECT method, count(*) AS n, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(g), 6) AS ndcg_at_k, round(avg(s), 6) AS sirr_at_k FROM met GROUP BY 1", "asked", "beliefs", "queries", "chunks")
+@query(_METRICS + "SELECT method, count(*) AS n, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(g), 6) AS ndcg_at_k, round(avg(s), 6) AS sirr_at_k FROM met GROUP BY 1", "asked", "asked_x", "beliefs", "queries", "chunks")
 def method_summary(spark: SparkSession, d: str) -> DataFrame:
     """A26."""
     m = _metrics(spark, d)
@@ -562,7 +622,7 @@ def method_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_METRICS + """SELECT CASE abs(truth - predicted) WHEN 0 THEN 'correct' WHEN 1 THEN 'adjacent' ELSE 'nonadjacent' END AS condition, method, count(*) AS n, round(avg(g), 6) AS ndcg_at_k, round(avg(s), 6) AS sirr_at_k
-FROM met JOIN beliefs ON vec_id = scenario_id GROUP BY 1, 2""", "asked", "beliefs", "queries", "chunks")
+FROM met JOIN beliefs ON vec_id = scenario_id GROUP BY 1, 2""", "asked", "asked_x", "beliefs", "queries", "chunks")
 def error_strata(spark: SparkSession, d: str) -> DataFrame:
     """A27."""
     b = views.beliefs(spark, d).select(F.col("vec_id").alias("scenario_id"), evaluation.error_condition(F.col("truth"), F.col("predicted")).alias("condition"))
@@ -684,7 +744,7 @@ def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     """G01."""
     from ..operators.graph import components
 
-    return components(neardup.hamming_pairs(views.hashes(spark, d), 18).select("a", "b")).select(F.col("node").alias("vec_id"), "root")
+    return components(neardup.hamming_links(views.hashes(spark, d), 18)).select(F.col("node").alias("vec_id"), "root")
 
 
 @query(_REACH.format(more="UNION SELECT min(vec_id) OVER (PARTITION BY vec_id // 3), vec_id FROM embeddings") + "SELECT vec_id, 'g' || lpad(coalesce(root, vec_id)::VARCHAR, 5, '0') AS leak_group FROM embeddings LEFT JOIN roots ON node = vec_id", "pairs")
@@ -741,6 +801,22 @@ def leakage_sweep(spark: SparkSession, d: str) -> DataFrame:
     return neardup.sweep(views.hashes(spark, d), views.beliefs(spark, d).select("vec_id", "split"), (14, 16, 18))
 
 
+_THRESHOLDS = (4, 6, 8, 10, 12, 14, 16, 20)
+
+
+@query(f""", v(t) AS (VALUES {', '.join(f'({t})' for t in _THRESHOLDS)}),
+x AS MATERIALIZED (SELECT p.*, a.split AS sa, b.split AS sb FROM pairs p JOIN beliefs a ON a.vec_id = p.a JOIN beliefs b ON b.vec_id = p.b WHERE distance <= {max(_THRESHOLDS)}),
+s AS MATERIALIZED (SELECT t, a, b FROM x JOIN v ON distance <= t UNION SELECT t, b, a FROM x JOIN v ON distance <= t),
+reach(t, node, seen) AS (SELECT t, a, a FROM s UNION SELECT s.t, s.a, r.seen FROM s JOIN reach r ON r.node = s.b AND r.t = s.t),
+k AS (SELECT t, root, count(*) AS size, count(DISTINCT split) AS splits FROM (SELECT t, node, min(seen) AS root FROM reach GROUP BY 1, 2) JOIN beliefs ON vec_id = node GROUP BY 1, 2)
+SELECT t AS threshold, (SELECT count(*) FROM x WHERE distance <= t) AS edges, (SELECT count(*) FROM k WHERE k.t = v.t) AS clusters, (SELECT coalesce(max(size), 0) FROM k WHERE k.t = v.t) AS largest,
+  (SELECT count(*) FROM k WHERE k.t = v.t AND splits > 1) AS straddling, (SELECT count(*) FROM x WHERE distance <= t AND sa <> sb) AS cross_pairs,
+  (SELECT count(*) FROM x WHERE distance <= t AND sa <> sb AND (sa <> 'train' OR sb <> 'train')) AS leak_pairs FROM v""", "pairs", "beliefs")
+def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Eight thresholds, all cut from one forest."""
+    return neardup.audit(views.hashes(spark, d), views.beliefs(spark, d).select("vec_id", "split"), _THRESHOLDS)
+
+
 @query(_REACH.format(more="") + """, c AS (SELECT h.vec_id, h.label, coalesce(root, h.vec_id) AS root FROM hashes h LEFT JOIN roots ON node = h.vec_id),
 f AS (SELECT *, min(vec_id) OVER (PARTITION BY label, root) AS first FROM c)
 SELECT label, vec_id, dense_rank() OVER (PARTITION BY label ORDER BY first)::INTEGER AS parent_no, row_number() OVER (PARTITION BY label, root ORDER BY vec_id)::INTEGER AS member_no FROM f""", "pairs")
@@ -749,7 +825,7 @@ def parent_rename_plan(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.graph import components
 
     h = views.hashes(spark, d)
-    return neardup.parent_plan(h, components(neardup.hamming_pairs(h, 18).select("a", "b")), "label", "vec_id").select("label", "vec_id", "parent_no", "member_no")
+    return neardup.parent_plan(h, components(neardup.hamming_links(h, 18)), "label", "vec_id").select("label", "vec_id", "parent_no", "member_no")
 
 
 # ---------------------------------------------------------------- manifests
@@ -933,9 +1009,9 @@ def focused_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-, k AS (SELECT *, topic || left(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g'), 1000) AS key FROM chunks),
+, k AS (SELECT *, topic || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') AS key FROM chunks),
 f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY doc_id) = 1)
-SELECT doc_id, source_id || '_C' || lpad(row_number() OVER (PARTITION BY source_id ORDER BY doc_id)::VARCHAR, 4, '0') AS chunk_id FROM f""", "chunks")
+SELECT doc_id, source_id || '_C' || format('{:04d}', row_number() OVER (PARTITION BY source_id ORDER BY doc_id)) AS chunk_id FROM f""", "chunks")
 def chunk_dedup_number(spark: SparkSession, d: str) -> DataFrame:
     """X12, X14, W04, W06."""
     return segment.dedup_number(views.chunks(spark, d), position="doc_id").select("doc_id", "chunk_id")

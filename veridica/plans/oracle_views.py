@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..schema import FACETS, STAGE_NAMES, TOPICS
+import re
+
+from ..schema import FACETS, STAGE_NAMES, STAGES, TOPICS
 
 
 def _list(names) -> str:
@@ -77,11 +79,30 @@ VIEWS = {
   SELECT b.*, c.compat, c.authority_score, c.restricted_action, v.belief, v.confidence, v.predicted, v.truth
   FROM based b JOIN chunks c USING (chunk_id) JOIN beliefs v ON v.vec_id = b.query_id""",
 }
+#: The same retrieval for queries that name the predicted stage: its views have names in "_x".
+VIEWS |= {
+    "queries_x": f"""
+  SELECT query_id, topic, predicted, 'Rice ' || replace(topic, '_', ' ') || ' evidence applicable to ' || {_list(d for _, d, _ in STAGES)}[predicted + 1] || ', BBCH ' || {_list(b for _, _, b in STAGES)}[predicted + 1] || '.' AS query
+  FROM queries JOIN beliefs ON vec_id = query_id""",
+    "lexical_x": VIEWS["lexical"].replace("FROM eligible LEFT JOIN bm25", "FROM eligible SEMI JOIN queries_x USING (query_id) LEFT JOIN bm25_x"),
+    "asks_x": """
+  SELECT query_id, topic, CASE WHEN n > 0 THEN [x / n FOR x IN v] ELSE v END AS u FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM (
+    SELECT query_id, topic, list_transform(embedding, lambda x, i: x::DOUBLE + (i = predicted + 1)::INT) AS v FROM queries_x JOIN embeddings ON vec_id = query_id))""",
+    "dense_x": """
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id)::INTEGER AS dense_rank FROM (
+    SELECT a.query_id, c.chunk_id, round(list_dot_product(a.u, b.u), 6) AS cosine
+    FROM asks_x a JOIN chunks c ON true JOIN units b ON b.vec_id = c.doc_id
+    JOIN eligible e ON e.query_id = a.query_id AND e.chunk_id = c.chunk_id) QUALIFY dense_rank <= 50""",
+}
+for _name in ("qterms", "bm25", "fused", "based", "asked"):
+    VIEWS[f"{_name}_x"] = re.sub(r"\b(FROM|JOIN) (queries|qterms|lexical|dense|fused|based)\b", r"\1 \2_x", VIEWS[_name])
 #: Which views a view needs.
 _NEEDS = {
     "exps": ["logits"], "beliefs": ["exps"], "pairs": ["hashes"], "tokens": ["chunks"], "lengths": ["chunks"], "posts": ["tokens", "lengths"], "idfs": ["posts", "chunks"],
     "qterms": ["queries"], "bm25": ["posts", "idfs", "qterms", "lengths"], "eligible": ["queries", "chunks"], "lexical": ["eligible", "bm25"], "dense": ["queries", "units", "chunks", "eligible"],
     "fused": ["lexical", "dense"], "based": ["fused"], "asked": ["based", "chunks", "beliefs"],
+    "queries_x": ["queries", "beliefs"], "qterms_x": ["queries_x"], "bm25_x": ["posts", "idfs", "qterms_x", "lengths"], "lexical_x": ["eligible", "queries_x", "bm25_x"], "asks_x": ["queries_x"],
+    "dense_x": ["asks_x", "units", "chunks", "eligible"], "fused_x": ["lexical_x", "dense_x"], "based_x": ["fused_x"], "asked_x": ["based_x", "chunks", "beliefs"],
 }
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import manifest, neardup, reports, stats
+from ..functions import vec
+from ..operators import evaluation, manifest, neardup, reports, stats
 from ..operators.ranking import numbered
 from ..schema import N_STAGES, STAGE_NAMES, STAGES, TOPIC_LABELS_VI
 from ..sources import files, views
@@ -62,7 +63,7 @@ _COLUMNS = {"precision_at_k": "p", "recall_at_k": "r", "ndcg_at_k": "g", "sirr_a
 
 
 @query(_METRICS + ", diffs AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, b.method AS baseline, a.scenario_id AS id, a.{x} - b.{x} AS s FROM met a JOIN met b ON a.scenario_id = b.scenario_id AND a.method = 'P' AND b.method IN ('B0', 'B2', 'B3')" for c, x in _COLUMNS.items()) + ")" + _boot("metric, baseline") + """
-SELECT metric, baseline, diff, low, high, p, low > 0 OR high < 0 AS significant, CASE WHEN gain = 0 THEN 'neither' WHEN (gain > 0) = (metric <> 'sirr_at_k') THEN 'P' ELSE baseline END AS favors FROM boots""", "asked", "beliefs", "queries", "chunks")
+SELECT metric, baseline, diff, low, high, p, low > 0 OR high < 0 AS significant, CASE WHEN gain = 0 THEN 'neither' WHEN (gain > 0) = (metric <> 'sirr_at_k') THEN 'P' ELSE baseline END AS favors FROM boots""", "asked", "asked_x", "beliefs", "queries", "chunks")
 def retrieval_significance(spark: SparkSession, d: str) -> DataFrame:
     """Belief-aware re-ranking against three baselines."""
     out = reports.retrieval_significance(_metrics(spark, d), "P", ["B0", "B2", "B3"], list(_COLUMNS))
@@ -70,6 +71,22 @@ def retrieval_significance(spark: SparkSession, d: str) -> DataFrame:
     return out.select("metric", "baseline", r6("diff", "diff"), low.alias("low"), high.alias("high"), r6("p", "p"), ((low > 0) | (high < 0)).alias("significant"), "favors")
 
 
+@query(_METRICS + ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, b.method AS baseline, a.scenario_id // 4 AS id, a.{x} - b.{x} AS d FROM met a JOIN met b ON a.scenario_id = b.scenario_id AND a.method = 'P' AND b.method IN ('B0', 'B1', 'B3')" for c, x in _COLUMNS.items()) + f"""),
+cluster AS (SELECT metric, baseline, id, sum(d) AS s, count(*) AS k FROM u GROUP BY ALL),
+drawn AS (SELECT *, ('0x' || substr(md5('42-' || r::VARCHAR || '-' || id::VARCHAR), 1, 8))::BIGINT AS u FROM cluster, range(1000) a(r)),
+weighed AS (SELECT *, {" + ".join(f"(u >= {t})::INT" for t in stats.POISSON)} AS w FROM drawn),
+boot AS (SELECT metric, baseline, round(sum(w * s) / sum(w * k), 9) AS m FROM weighed GROUP BY metric, baseline, r HAVING sum(w * k) > 0),
+one AS (SELECT metric, baseline, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p FROM boot GROUP BY ALL),
+whole AS (SELECT metric, baseline, count(*) AS images, sum(k)::BIGINT AS scenarios, round(sum(s) / sum(k), 6) AS diff FROM cluster GROUP BY ALL),
+h AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, metric || ' ' || baseline) + 1) * p) AS up FROM one JOIN whole USING (metric, baseline))
+SELECT metric, baseline, images, scenarios, diff, low, high, round(p, 6) AS p, round(max(up) OVER (ORDER BY p, metric || ' ' || baseline ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h""", "asked", "asked_x", "beliefs", "queries", "chunks")
+def retrieval_significance_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """Scenarios are drawn by image (here four scenarios each), with the strongest baseline and Holm's adjustment."""
+    image = F.floor(F.col("scenario_id") / 4)
+    out = reports.clustered_significance(_metrics(spark, d), image, "P", ["B0", "B1", "B3"], list(_COLUMNS))
+    return out.select("metric", "baseline", "images", "scenarios", *(r6(c, c) for c in ("diff", "low", "high", "p", "p_holm")))
+
+
 @query(_MODELS + ", diffs AS (SELECT model, vec_id AS id, correct::DOUBLE AS s FROM m)" + _boot("model") + " SELECT model, diff AS accuracy, low, high FROM boots", "beliefs")
 def model_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """A share and its interval for each model."""
@@ -220,3 +237,32 @@ def scenario_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE_SQL["wilcoxon_p"] = ORACLE_SQL["wilcoxon_stat"].replace(" AS z FROM s", " AS z FROM s) SELECT n, statistic, z, " + _TAIL.format(z="z") + " AS p_value FROM t").replace("SELECT n::BIGINT AS n", ", t AS (SELECT n::BIGINT AS n", 1)
+
+
+# ---------------------------------------------------------------- logits and temperature
+
+_FINE = ", ".join(f"g{k} AS (SELECT model, t, avg(ln(list_sum([exp((v - list_max(x)) / t) FOR v IN x])) + (list_max(x) - x[truth + 1]) / t) AS nll FROM fit JOIN ({grid}) USING (model) GROUP BY model, t), b{k} AS (SELECT model, arg_min(t, nll) AS t FROM g{k} GROUP BY model)"
+    for k, grid in enumerate(["SELECT DISTINCT model, exp(ln(0.05) + i * ln(200) / 100) AS t FROM fit, range(101) r(i)", *(f"SELECT model, least(greatest(t * exp((i - 50) * ln(200) / 100 / {25 ** k}), 0.05), 10) AS t FROM b{k - 1}, range(101) r(i)" for k in (1, 2, 3))]))
+
+
+@query(f"""
+, two AS (SELECT vec_id, truth, split, unnest([{{'model': 'plain', 'x': logits}}, {{'model': 'sharp', 'x': [3 * v FOR v IN logits]}}], recursive := true) FROM logits),
+fit AS MATERIALIZED (SELECT * FROM two WHERE split = 'validation'), {_FINE},
+p AS (SELECT model, truth, b3.t, x, list_transform([1.0::DOUBLE, b3.t], lambda t: [exp((v - list_max(x)) / t) FOR v IN x]) AS e FROM two JOIN b3 USING (model) WHERE split = 'test'),
+m AS (SELECT model, t, truth, list_transform(e, lambda w: [v / list_sum(w) FOR v IN w]) AS p FROM p)
+SELECT model, round(any_value(t), 4) AS temperature, count(*) AS n, round(avg(-ln(p[1][truth + 1])), 6) AS nll_before, round(avg(-ln(p[2][truth + 1])), 5) AS nll_after, round(avg(list_max(p[1])), 6) AS confidence_before, round(avg(list_max(p[2])), 4) AS confidence_after
+FROM m GROUP BY model""", "logits")
+def calibration_report(spark: SparkSession, d: str) -> DataFrame:
+    """Logits written by model and split, the temperature fitted on the validation rows that are read back, and
+    the test rows before and after it."""
+    b = views.beliefs(spark, d)
+    models = F.explode(F.array(F.struct(F.lit("plain").alias("model"), F.col("logits").alias("x")), F.struct(F.lit("sharp").alias("model"), F.transform("logits", lambda v: 3 * v).alias("x")))).alias("m")
+    rows = b.select(F.col("vec_id").cast("string").alias("image_id"), F.col("truth").alias("label"), "split", models)
+    path = new_path(spark, "logits")
+    files.write_logits(rows.select("image_id", "label", "split", "m.model", F.col("m.x").alias("logits")), path)
+    found = evaluation.fit_temperature(files.read_logits(spark, path).where("split = 'validation'"), "model", truth="label")
+    test = files.read_logits(spark, path).where("split = 'test'").withColumn("t", F.create_map(*(F.lit(x) for pair in found.items() for x in pair))[F.col("model")])
+    before, after = vec.softmax(F.col("logits")), vec.softmax(F.transform("logits", lambda v: v / F.col("t")))
+    p = test.select("model", "t", F.col("label").alias("truth"), before.alias("before"), after.alias("after"))
+    loss = lambda c: F.avg(evaluation.nll(F.col(c), F.col("truth")))
+    return p.groupBy("model").agg(F.round(F.first("t"), 4).alias("temperature"), F.count("*").alias("n"), r6(loss("before"), "nll_before"), F.round(loss("after"), 5).alias("nll_after"), r6(F.avg(F.array_max("before")), "confidence_before"), F.round(F.avg(F.array_max("after")), 4).alias("confidence_after"))

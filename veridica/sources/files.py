@@ -225,6 +225,14 @@ def write_logits(rows: DataFrame, path: str) -> None:
     rows.select("model", "split", "image_id", "label", "logits").write.mode("overwrite").partitionBy("model", "split").parquet(path)
 
 
+LOGITS = "image_id string, label int, logits array<double>, model string, split string"
+
+
+def read_logits(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_logits`` wrote; filters on model and split read only their folders."""
+    return spark.read.schema(LOGITS).parquet(path)
+
+
 def write_outputs(chunks: DataFrame, registry: DataFrame, path: str) -> None:
     """The sinks of a corpus build: all chunks and the unrestricted ones as JSON lines, the registry, a report of counts, the
     canonical table and the review queue as CSV with arrays as JSON. The build is written once and the others read that."""
