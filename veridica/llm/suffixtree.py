@@ -3,14 +3,15 @@
 A text is its words (``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case), each closed by one space, and one end
 symbol (line feed): a sequence of bytes. The tree gives every byte a probability after its context, the up to ``DEPTH``
 bytes before it (line feeds ahead of the text); a token's is the product over its bytes. A second, depth-0 state over
-whole words has the training words' shares, and for any word not seen the share that Good and Turing give to all of
-them. A token's probability is the mean of both, weighted by ``LEXICON``, so known words keep their frequency, unseen
-ones are spelt or counted as unseen, and what precedes a word (its language above all) counts for either. The
-probabilities of all sequences of tokens, those not seen as one, add up to 1 at most.
+whole words has the training words' shares, less the mass that Good and Turing give to all words not seen; that mass is
+spread over spellings as the tree has them, so an unseen word pays for each of its bytes. A token's probability is the mean
+of both, weighted by ``LEXICON``: (1 - LEXICON + LEXICON * unseen) * spelling + LEXICON * (1 - unseen) * share. What precedes
+a word (its language above all) counts for its spelling. The probabilities of all texts add up to 1 at most.
 
 Tree: a context is kept if it is at least ``SHARE`` of all training symbols and the next-symbol distribution diverges
 from that of its suffix (count times Kullback-Leibler divergence of at least ``DIVERGENCE`` nats for each next symbol), or if a longer kept
-context ends in it. There are at most DEPTH / SHARE such contexts whatever the corpus, so the tree can be broadcast.
+context ends in it. ``SHARE`` is the least empirical probability that algorithms for such trees ask of a context; there are at most
+DEPTH / SHARE such contexts whatever the corpus, so the tree has a proven bound and can be broadcast.
 Distributions are smoothed by the suffix's: (count + k * P(suffix)) / (total + k) with k = ``PRIOR`` times the number of
 different next symbols, down to a uniform one.
 
@@ -239,8 +240,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     totals = words.agg(F.sum("learnt"), F.count_if(F.col("learnt") > 0), F.count_if(F.col("learnt") == 1), F.sum("every"), F.max(F.when(F.col("key").isNull(), F.col("learnt")))).first()
     n, known, once, tokens, end = (x or 0 for x in totals)
     unseen = (once + 0.5) / (n + 1) if n else 1.0
-    unit = lexicon * (1 - min(unseen, 0.99)) / max(n, 1)  # times a word's count
-    unseen = lexicon * min(unseen, 0.99) if n else lexicon
+    unseen = min(unseen, 0.99) if n else 1.0
+    unit = lexicon * (1 - unseen) / max(n, 1)  # times a word's count
+    spell = 1 - lexicon + lexicon * unseen  # times its spelling
     often = words.where(F.col("key").isNotNull() & (F.col("every") >= max(1.0, frequent * tokens))).select("key", "learnt").toArrow()
     order = np.argsort(often["key"].to_numpy().view(np.uint64))
     table = (often["key"].to_numpy().view(np.uint64)[order], often["learnt"].to_numpy()[order])
@@ -279,7 +281,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                         rare_spelt.append(here[:-1][late])
                         rare_at.append(len(rare))
                         c = np.append(got[~late], end)
-                        p = (1 - lexicon) * 10 ** np.append(here[:-1][~late], here[-1]) + np.where(c > 0, unit * c, unseen)
+                        p = spell * 10 ** np.append(here[:-1][~late], here[-1]) + unit * c
                         rows.append((len(own) + 1, int((c > 0).sum()), float(np.log10(c + 1.0).sum()), float(np.log10(p).sum())))
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                     values = pa.array(np.array(rare, dtype=np.uint64).view(np.int64)), pa.array(np.concatenate(rare_spelt).astype(np.float32))
@@ -292,7 +294,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     made = saved(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     pairs = made.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("p")).select("row", F.col("p.rare").alias("key"), F.col("p.spelt").alias("spelt"))
     c = F.col("learnt")
-    p = (1 - lexicon) * F.pow(F.lit(10.0), F.col("spelt").cast("double")) + F.when(c > 0, unit * c).otherwise(F.lit(unseen))
+    p = F.lit(spell) * F.pow(F.lit(10.0), F.col("spelt").cast("double")) + F.lit(unit) * c
     seen = pairs.join(words.where("key is not null").select("key", "learnt"), "key").groupBy("row").agg(F.count_if(c > 0).alias("k"), F.sum(F.log10(c + 1.0)).alias("l"), F.sum(F.log10(p)).alias("s"))
     whole = made.drop("rare", "spelt").join(seen, "row", "left")
     base = F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + known + 1)))
