@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import assert_same, connection
-from veridica.plans import reports  # noqa: F401
+from veridica.plans import library, reports  # noqa: F401
 from veridica.plans.catalog import ORACLE_SQL, QUERIES
 
 

@@ -174,6 +174,22 @@ def profiles(chunks: DataFrame, least: float = 0.8, bucket: int = 20) -> DataFra
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= bucket).select("stage_id", "bucket", "place", "chunk_id", "authority_score")
 
 
+def evidence_item(note: Column | None = None) -> Column:
+    """What a report shows of a chunk, as a struct; ``note`` is null where it is empty."""
+    shown = ("chunk_id", "text", "topic", "facet", "source_title", "source_organization", "source_url", "authority_score", "language")
+    return F.struct(*shown, F.nullif(note if note is not None else F.lit(""), F.lit("")).alias("note"))
+
+
+def profile_report(chunks: DataFrame, least: float = 0.8, bucket: int = 20, previews: int = 8) -> DataFrame:
+    """(stage_id, bucket, items): each stage's evidence of each bucket, and its next-stage actions with previews, in order; at most
+    ``bucket`` items each, so an array is bounded."""
+    staged = profiles(chunks, least, bucket).select("stage_id", "bucket", "place", "chunk_id", F.lit("").alias("note"))
+    coming = lookahead(chunks, least, bucket, previews).select("stage_id", F.lit("next_stage_actions").alias("bucket"), "place", "chunk_id", "note")
+    met = staged.where("bucket != 'next_stage_actions'").union(coming).join(chunks, "chunk_id")
+    items = F.array_sort(F.collect_list(F.struct("place", evidence_item(F.col("note")).alias("item"))))
+    return met.groupBy("stage_id", "bucket").agg(F.transform(items, lambda x: x["item"]).alias("items"))
+
+
 def lookahead(chunks: DataFrame, least: float = 0.8, bucket: int = 20, previews: int = 8) -> DataFrame:
     """(stage_id, place, chunk_id, note): next-stage actions of each stage: its own, then previews of the next stage's
     evidence while there is room."""

@@ -73,8 +73,18 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[table]).parquet(f"{path}/{table}")
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+def _weights(spark: SparkSession, path: str, terms: DataFrame, variant: str, epsilon: float = 0.25) -> DataFrame:
+    """``terms`` (with df and qtf) with n, avgdl and weight = qtf * idf. "plus_one": ln(1 + ratio); "floored": ln(ratio), but negative
+    ones are ``epsilon`` times the mean over all terms of the corpus, which the table of terms has."""
+    whole = read(spark, path, "whole").select("n", "avgdl")
+    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    met = terms.join(F.broadcast(whole))
+    if variant == "plus_one":
+        return met.withColumn("weight", F.col("qtf") * F.ln(1 + ratio))
+    if variant != "floored":
+        raise ValueError(f"no such variant: {variant}")
+    mean = read(spark, path, "terms").join(F.broadcast(whole)).agg((epsilon * F.avg(F.ln(ratio))).alias("least"))
+    return met.join(F.broadcast(mean)).withColumn("weight", F.col("qtf") * F.when(F.ln(ratio) < 0, F.col("least")).otherwise(F.ln(ratio)))
 
 
 def _scored(spark: SparkSession, path: str, heads: DataFrame, buckets: list[int], whole: DataFrame) -> DataFrame:
@@ -86,14 +96,14 @@ def _scored(spark: SparkSession, path: str, heads: DataFrame, buckets: list[int]
     return met.join(F.broadcast(whole)).groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
-def needed(spark: SparkSession, path: str, queries: DataFrame, depth: int) -> tuple[DataFrame, list[int], DataFrame]:
-    """(levels that each query has to read, with ``all`` postings of each and whether it is ``kept``; buckets; asked topics)."""
+def needed(spark: SparkSession, path: str, queries: DataFrame, depth: int, variant: str = "plus_one") -> tuple[DataFrame, list[int], DataFrame]:
+    """(levels of each query's terms with their postings n and whether the query has to read them, ``kept``; buckets; asked topics)."""
     asked = allowed(read(spark, path, "keys"), queries).select("query_id", "allowed")
     q = saved(query_terms(queries).select("query_id", "term", "qtf", _bucket(read(spark, path, "whole").first().buckets)), "asked")
     buckets = sorted(r.bucket for r in q.select("bucket").distinct().collect())  # at most as many as the index has
     whole = read(spark, path, "whole")
-    known = read(spark, path, "terms").where(F.col("bucket").isin(buckets)).join(q, ["bucket", "term"]).join(F.broadcast(whole.select("n", "avgdl")))
-    weights = known.select("query_id", "bucket", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    known = _weights(spark, path, read(spark, path, "terms").where(F.col("bucket").isin(buckets)).join(q, ["bucket", "term"]), variant)
+    weights = known.select("query_id", "bucket", "term", "weight")
     levels = read(spark, path, "levels").where(F.col("bucket").isin(buckets)).join(weights, ["bucket", "term"]).join(asked, "query_id").where(_open("topic"))
     levels = saved(levels.select("query_id", "bucket", "term", "topic", "level", "n", "weight", (F.col("weight") * F.col("top")).alias("most")), "levels")
 
@@ -104,14 +114,15 @@ def needed(spark: SparkSession, path: str, queries: DataFrame, depth: int) -> tu
 
     each = levels.groupBy("query_id", "term").agg(F.max("most").alias("most"))
     each = each.withColumn("rest", F.sum("most").over(W.partitionBy("query_id")) - F.col("most")).select("query_id", "term", "rest")
-    reach = F.col("most") + F.col("rest") >= F.coalesce("floor", F.lit(0.0))
+    # a negative weight lets a document fall below its partial sums: then all is read
+    reach = (F.col("most") + F.col("rest") >= F.coalesce("floor", F.lit(0.0))) | (F.min("weight").over(W.partitionBy("query_id")) < 0)
     return levels.join(each, ["query_id", "term"]).join(floor, "query_id", "left").withColumn("kept", reach), buckets, asked
 
 
-def top(spark: SparkSession, path: str, queries: DataFrame, depth: int = 50, key: str = "chunk_id") -> DataFrame:
+def top(spark: SparkSession, path: str, queries: DataFrame, depth: int = 50, key: str = "chunk_id", variant: str = "plus_one") -> DataFrame:
     """(query_id, ``key``, bm25, bm25_rank) as ``retrieval.bm25_top`` gives it: the best eligible documents of each query of
     ``queries`` (query_id, query, topic), those without a common term at score 0 included."""
-    levels, buckets, asked = needed(spark, path, queries, depth)
+    levels, buckets, asked = needed(spark, path, queries, depth, variant)
     scored = _scored(spark, path, levels.where("kept"), buckets, read(spark, path, "whole"))
     best = ranked(scored, "bm25", depth, "_r", key="key").drop("_r")
     first = read(spark, path, "keys").withColumn("_r", F.row_number().over(W.partitionBy("topic").orderBy("key"))).where(F.col("_r") <= depth).drop("_r")
