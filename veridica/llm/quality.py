@@ -6,8 +6,10 @@ Filters span two cells and move by one, so chunks of 16 bytes overlap by 8 and c
 responses are max-pooled over the document, and a logistic layer makes the maxima one probability. Long texts are read
 in pieces, with running maxima, so memory does not grow with the text.
 
-Training: Adam on the log loss over a bounded sample of labelled rows (``sample`` rows at most, those of least hash),
-each with its whole text. Only the text is an input of a score.
+Training: Adam on the log loss over a bounded sample of labelled rows: at most ``sample`` rows, those of least hash, and
+``SAMPLE_BYTES`` bytes of text, of which one text has a 64th at most. Each is read whole, in pieces: as a maximum passes its
+gradient to one chunk alone, a step needs no more than the chunks at which the filters have their maxima. Only the text is
+an input of a score.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, unused
 
 CELL, LAGS, VECTOR, FILTERS = 8, 16, 8, 24
 PIECE = 1 << 16
+#: Bytes of the training texts that come to the driver.
+SAMPLE_BYTES = 1 << 26
 
 
 @dataclass
@@ -68,13 +73,20 @@ def _responses(net: Network, x: np.ndarray) -> np.ndarray:
     return np.maximum((x @ net.filters[:half])[:-1] + (x @ net.filters[half:])[1:] + net.bias, 0)
 
 
-def pooled(net: Network, text: bytes) -> np.ndarray:
-    """Each filter's largest response. Pieces share a cell, so the result is as of one pass."""
+def _pieces(net: Network, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first cell, bytes in cells, inputs, responses) of pieces. Pieces share a cell, so all chunks are seen."""
     data, step = _padded(text), PIECE // CELL * CELL
-    top = np.zeros(FILTERS, dtype=np.float32)
     for lo in range(0, len(data) - CELL, step):
         before = np.concatenate([np.zeros(max(0, LAGS + 1 - lo), np.uint8), data[max(0, lo - LAGS - 1) : lo]])
-        r = _responses(net, _inputs(net, *cells(data[lo : lo + step + CELL], before)))
+        byte_cells, same = cells(data[lo : lo + step + CELL], before)
+        x = _inputs(net, byte_cells, same)
+        yield lo // CELL, byte_cells, x, _responses(net, x)
+
+
+def pooled(net: Network, text: bytes) -> np.ndarray:
+    """Each filter's largest response."""
+    top = np.zeros(FILTERS, dtype=np.float32)
+    for _, _, _, r in _pieces(net, text):
         top = np.maximum(top, r.max(axis=0))
     return top
 
@@ -85,27 +97,27 @@ def probability(net: Network, text: bytes) -> float:
 
 
 def _gradients(net: Network, text: bytes, label: int) -> tuple[float, list[np.ndarray]]:
-    data = _padded(text)
-    byte_cells, same = cells(data, np.zeros(LAGS + 1, dtype=np.uint8))
-    x = _inputs(net, byte_cells, same)
-    r = _responses(net, x)
-    which = r.argmax(axis=0)
-    h = r[which, np.arange(FILTERS)]
+    """Loss and gradients, from the chunk (two cells) of each filter's first largest response."""
+    each = np.arange(FILTERS)
+    h = np.full(FILTERS, -1, dtype=np.float32)
+    chunk_bytes, chunk = np.zeros((FILTERS, 2, CELL), dtype=np.uint8), np.zeros((FILTERS, 2, CELL * VECTOR + LAGS), dtype=np.float32)
+    for _, byte_cells, x, r in _pieces(net, text):
+        which = r.argmax(axis=0)
+        more = np.flatnonzero(r[which, each] > h)
+        h[more] = r[which[more], more]
+        for side in (0, 1):
+            chunk_bytes[more, side], chunk[more, side] = byte_cells[which[more] + side], x[which[more] + side]
     p = 1 / (1 + np.exp(-np.clip(h @ net.out + net.base[0], -60, 60)))
     d = np.float32(p - label)
-    dense = np.zeros_like(r)
-    dense[which, np.arange(FILTERS)] = d * net.out * (h > 0)
+    back = d * net.out * (h > 0)
     half = len(net.filters) // 2
-    grad_filters = np.vstack([x[:-1].T @ dense, x[1:].T @ dense])
-    grad_x = np.zeros((len(x), CELL * VECTOR), dtype=np.float32)
-    grad_x[:-1] += dense @ net.filters[: CELL * VECTOR].T
-    grad_x[1:] += dense @ net.filters[half : half + CELL * VECTOR].T
-    grad_vectors = np.empty((256, VECTOR), dtype=np.float32)
-    flat = grad_x.reshape(-1, VECTOR)
-    for v in range(VECTOR):
-        grad_vectors[:, v] = np.bincount(byte_cells.ravel(), weights=flat[:, v], minlength=256)
+    grad_filters = np.vstack([chunk[:, 0].T * back, chunk[:, 1].T * back])
+    grad_vectors = np.zeros((256, VECTOR), dtype=np.float32)
+    for side in (0, 1):
+        of_filter = net.filters[side * half : side * half + CELL * VECTOR].T * back[:, None]
+        np.add.at(grad_vectors, chunk_bytes[:, side].ravel(), of_filter.reshape(-1, VECTOR))
     loss = -float(np.log(p if label else 1 - p)) if 0 < p < 1 else 60.0
-    return loss, [grad_vectors, grad_filters, dense.sum(axis=0), d * h, np.array([d], dtype=np.float32)]
+    return loss, [grad_vectors, grad_filters, back, d * h, np.array([d], dtype=np.float32)]
 
 
 def train(rows: list[tuple[bytes, int]], epochs: int = 4, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Network:
@@ -140,15 +152,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("null")), "UTF-8")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "quality", text: str = "text", doc_id: str = "doc_id", **how) -> Network:
-    """Trains on at most ``sample`` rows, those of least hash of the id; null labels and ids, and labels other than 0 and 1, teach nothing; of a repeated id one row."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, **how) -> Network:
+    """Trains on at most ``sample`` rows, those of least hash of the id, whose texts have at most ``sample_bytes`` bytes together
+    and a 64th of that each; null labels and ids, and labels other than 0 and 1, teach nothing; of a repeated id one row."""
     key = F.xxhash64("doc_id")
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # the texts of this bounded list alone move
     chosen = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(key, "doc_id").limit(sample)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(key, "doc_id").select("text", "y").toArrow()
+    size = F.octet_length("text").cast("long")
+    rows = texts.join(F.broadcast(chosen), "doc_id").where(size <= sample_bytes // 64).dropDuplicates(["doc_id"])
+    so_far = F.sum(size).over(W.orderBy(key, "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over the rows of the sample
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).orderBy(key, "doc_id").select("text", "y").toArrow()
     return train([(x.as_py().encode(), y) for x, y in zip(rows["text"], rows["y"].to_pylist(), strict=True)], **how)
 
 
