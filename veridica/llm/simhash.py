@@ -408,10 +408,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     h1, h2, k1, k2 = unused(docs.columns, "_h1", "_h2", "_k1", "_k2")
     key = [F.xxhash64(*every).alias(h1), F.hash(*every).alias(h2)]
     keys = [F.xxhash64(*every).alias("h1"), F.hash(*every).alias("h2")]
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *keys, F.xxhash64(F.col(f"`{text}`")).alias("id"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
-    prints = saved(_with_minhashes(some, "text", ["doc_id", "h1", "h2", "id", "size"], words), "simhash")
+    twice = [F.xxhash64(F.col(f"`{text}`")).alias("t1"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("t2")]  # 128 bits tell texts apart
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *keys, *twice, F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
+    prints = saved(_with_minhashes(some, "text", ["doc_id", "h1", "h2", "t1", "t2", "size"], words), "simhash")
     least = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h1", "h2")
-    own = saved(prints.groupBy("id").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("size", "fp", "s0", "s1", "bands"))), "prints")
+    own = prints.groupBy("t1", "t2").agg(F.min(least).alias("least"), *(F.first(f).alias(f) for f in ("size", "fp", "s0", "s1", "bands"))).drop("t1", "t2")
+    own = saved(own.withColumn("id", F.monotonically_increasing_id()), "prints")
     near = links(own.select("id", "fp", F.col("fp").alias("chk")), ["fp"])
     banded = own.select(F.posexplode("bands").alias("part", "value"), F.lit(True).alias("own"), "id", F.col("s0").alias("fp"), F.col("s1").alias("chk"))
     met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, HEAVY, SKETCH, SKETCH, star=True), _FOUND)
