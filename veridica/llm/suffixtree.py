@@ -2,11 +2,10 @@
 
 A text is its words (``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case), each closed by one space, and one end
 symbol (line feed): a sequence of bytes. The tree gives every byte a probability after its context, the up to ``DEPTH``
-bytes before it (line feeds ahead of the text); a token's is the product over its bytes. A second, depth-0 state over
-whole words has the training words' shares, less the mass that Good and Turing give to all words not seen; that mass is
-spread over spellings as the tree has them, so an unseen word pays for each of its bytes. A token's probability is the mean
-of both, weighted by ``LEXICON``: (1 - LEXICON + LEXICON * unseen) * spelling + LEXICON * (1 - unseen) * share. What precedes
-a word (its language above all) counts for its spelling. The probabilities of all texts add up to 1 at most.
+bytes before it (line feeds ahead of the text); a token's is the product over its bytes and a text's that over its tokens, so
+known and unseen words alike pay their spelling and the probabilities of all texts add up to 1 at most (the base score is no
+such probability: it gives any unseen word one share, however spelt). What precedes a word (its language above all) counts
+for its spelling.
 
 Tree: a context is kept if it is at least ``SHARE`` of all training symbols and the next-symbol distribution diverges
 from that of its suffix (count times Kullback-Leibler divergence of at least ``DIVERGENCE`` nats for each next symbol), or if a longer kept
@@ -18,7 +17,7 @@ different next symbols, down to a uniform one.
 Scoring follows the longest kept suffix. Closing the tree under prefixes makes it an automaton: one look-up a byte.
 Texts are cut into segments that are read side by side, each after the DEPTH bytes before it.
 
-The same pass counts words. Words that are ``FREQUENT`` of all tokens or more (at most 1 / FREQUENT of them) go out as a
+For the base score the same pass counts words. Words that are ``FREQUENT`` of all tokens or more (at most 1 / FREQUENT of them) go out as a
 table; the others, none of which can be a hot key, meet their counts in a join. Words are told apart by 64-bit hashes.
 """
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, saved
 from .quality import fold
 
-DEPTH, SHARE, DIVERGENCE, PRIOR, LEXICON = 6, 8e-6, 2.0, 2.0, 0.5
+DEPTH, SHARE, DIVERGENCE, PRIOR = 6, 8e-6, 2.0, 2.0
 FREQUENT = 5e-7
 SEGMENT, CHUNK, HELD = 512, 1 << 20, 1 << 18
 END = 10
@@ -224,7 +223,7 @@ class Tree:
         return np.add.reduceat(self.logs(lines), np.concatenate([[0], last[:-1] + 1]), dtype=np.float64) if len(raw) else np.zeros(0)
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, share: float = SHARE, divergence: float = DIVERGENCE, prior: float = PRIOR, frequent: float = FREQUENT, lexicon: float = LEXICON) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, share: float = SHARE, divergence: float = DIVERGENCE, prior: float = PRIOR, frequent: float = FREQUENT) -> DataFrame:
     """For every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10.
 
     Learns from rows where ``held_out`` is false. Null and empty texts are one end token; repeated rows count and
@@ -237,12 +236,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     runs = contexts(counts.where("kind = 1").select("key", F.col("learnt").alias("n")), depth, share, divergence).toArrow()
     tree = Tree(list(zip(*(c.to_pylist() for c in runs.columns), strict=True)), depth, prior)
     words = counts.where("kind = 0")
-    totals = words.agg(F.sum("learnt"), F.count_if(F.col("learnt") > 0), F.count_if(F.col("learnt") == 1), F.sum("every"), F.max(F.when(F.col("key").isNull(), F.col("learnt")))).first()
-    n, known, once, tokens, end = (x or 0 for x in totals)
-    unseen = (once + 0.5) / (n + 1) if n else 1.0
-    unseen = min(unseen, 0.99) if n else 1.0
-    unit = lexicon * (1 - unseen) / max(n, 1)  # times a word's count
-    spell = 1 - lexicon + lexicon * unseen  # times its spelling
+    totals = words.agg(F.sum("learnt"), F.count_if(F.col("learnt") > 0), F.sum("every"), F.max(F.when(F.col("key").isNull(), F.col("learnt")))).first()
+    n, known, tokens, end = (x or 0 for x in totals)
     often = words.where(F.col("key").isNotNull() & (F.col("every") >= max(1.0, frequent * tokens))).select("key", "learnt").toArrow()
     order = np.argsort(often["key"].to_numpy().view(np.uint64))
     table = (often["key"].to_numpy().view(np.uint64)[order], often["learnt"].to_numpy()[order])
@@ -272,33 +267,28 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                 own_of.append((own, np.fromiter(map(cached.__getitem__, own), dtype=np.int64, count=len(own))))
                 size += len(line)
                 if size > CHUNK or i == batch.num_rows - 1:
-                    spelt, at, rows, rare_at = tree.tokens(lines), 0, [], [0]
-                    rare, rare_spelt = [], []
+                    spelt, at, rows, rare, rare_at = tree.tokens(lines), 0, [], [], [0]
                     for own, got in own_of:
-                        here, at = spelt[at : at + len(own) + 1], at + len(own) + 1
+                        total, at = float(spelt[at : at + len(own) + 1].sum()), at + len(own) + 1
                         late = got < 0
                         rare += [xxh64_intdigest(own[k]) for k in np.flatnonzero(late)]
-                        rare_spelt.append(here[:-1][late])
                         rare_at.append(len(rare))
                         c = np.append(got[~late], end)
-                        p = spell * 10 ** np.append(here[:-1][~late], here[-1]) + unit * c
-                        rows.append((len(own) + 1, int((c > 0).sum()), float(np.log10(c + 1.0).sum()), float(np.log10(p).sum())))
+                        rows.append((len(own) + 1, int((c > 0).sum()), float(np.log10(c + 1.0).sum()), total))
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                    values = pa.array(np.array(rare, dtype=np.uint64).view(np.int64)), pa.array(np.concatenate(rare_spelt).astype(np.float32))
-                    lists = [pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), v) for v in values]
+                    lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(np.array(rare, dtype=np.uint64).view(np.int64)))
                     ids = [batch.column(0).slice(lo, len(lines)), batch.column(2).slice(lo, len(lines))]
-                    yield pa.RecordBatch.from_arrays([*ids, *cols, *lists], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "spelt"])
+                    yield pa.RecordBatch.from_arrays([*ids, *cols, lists], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
                     lo, size, lines, own_of = i + 1, 0, [], []
 
-    made = some.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, spelt array<float>")
+    made = some.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>")
     made = saved(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    pairs = made.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("p")).select("row", F.col("p.rare").alias("key"), F.col("p.spelt").alias("spelt"))
+    pairs = made.select("row", F.explode("rare").alias("key"))
     c = F.col("learnt")
-    p = F.lit(spell) * F.pow(F.lit(10.0), F.col("spelt").cast("double")) + F.lit(unit) * c
-    seen = pairs.join(words.where("key is not null").select("key", "learnt"), "key").groupBy("row").agg(F.count_if(c > 0).alias("k"), F.sum(F.log10(c + 1.0)).alias("l"), F.sum(F.log10(p)).alias("s"))
-    whole = made.drop("rare", "spelt").join(seen, "row", "left")
+    seen = pairs.join(words.where("key is not null").select("key", "learnt"), "key").groupBy("row").agg(F.count_if(c > 0).alias("k"), F.sum(F.log10(c + 1.0)).alias("l"))
+    whole = made.drop("rare").join(seen, "row", "left")
     base = F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + known + 1)))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def held(doc_id: str = "doc_id", folds: int = 7, which: int = 2) -> Column:
