@@ -41,14 +41,35 @@ def test_bootstrap_takes_all_rows_and_replicates(spark, sf):
     assert tuple(QUERIES["bootstrap_ci"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
 
 
-def test_stream_equals_the_fold_at_rest(spark, sf):
-    from veridica.operators.temporal import tracks
-    from veridica.plans.catalog import evidence
-
-    stream = {}
-    for r in QUERIES["stream_belief_tracking"](spark, sf).orderBy("user_id", "event_id").collect():
-        stream.setdefault(r.user_id, []).append(r.confidence)
-    rest = {}
-    for r in tracks(evidence(spark, sf), "user_id", ["event_id"]).orderBy("user_id", "pos").collect():
-        rest.setdefault(r.user_id, []).append(max(r.fused))
-    assert stream == {u: pytest.approx(c, abs=1e-9) for u, c in rest.items()}
+def test_stream_in_event_time(spark, tmp_path):
+    """Batches out of order within the delay give the fold in order; a row from before the delay is told and changes nothing."""
+    from pyspark.sql import functions as F
+
+    from veridica.functions.vec import transition_matrix
+    from veridica.operators.temporal import Fold
+    from veridica.streaming.tracking import closing, track
+
+    schema = "user_id long, at long, event_id long, belief array<double>"
+    belief = lambda k: [0.5 if j == k % 6 else 0.1 for j in range(6)]
+    second = 1_000_000
+    batches = [[2, 0, 1], [5, 3, 4], [9, 8], [1], [7, 30]]  # the second 1 is 8 seconds old when it comes
+    for n, b in enumerate(batches):
+        rows = [(u, t * second, 100 * n + t, belief(t + u)) for t in b for u in (1, 2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = track(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), delay=4)
+        run.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+        told = {(r.event_id, r.late) for r in spark.read.parquet(str(tmp_path / "out")).where("user_id = 1").collect()}
+        if n == 0:
+            assert told == set()  # all wait
+    assert (301, True) in told and (430, False) not in told
+    closing(spark.createDataFrame([(1,), (2,)], "user_id long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = track(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), delay=4)
+    run.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    step, last = Fold(transition_matrix(6)), None
+    got = {r.event_id: r.confidence for r in spark.read.parquet(str(tmp_path / "out")).where("user_id = 2 and not late").orderBy("event_id").collect()}
+    times = sorted((t, 100 * n + t) for n, b in enumerate(batches) for t in b if n != 3)
+    assert set(got) == {i for _, i in times}
+    for t, i in times:
+        last = step(last, belief(t + 2))
+        assert got[i] == pytest.approx(max(last), abs=1e-12)
+    assert spark.read.parquet(str(tmp_path / "out")).where(F.col("late")).count() == 2

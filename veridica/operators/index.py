@@ -6,8 +6,8 @@ hash of the term. Tables of an index, in its folder: ``blocks`` (the postings),
 postings and highest impact, at most 2.5 / ``STEP`` levels), ``terms`` (document frequencies), ``keys`` (every document and its
 topic), ``whole`` (documents, mean length).
 
-A query reads the buckets of its terms alone. First the best levels of each term, until they hold as many documents as are
-wanted: the last of the best partial sums is a score that the top cannot fall below. Then the levels that can still matter:
+A query reads the buckets of its terms alone. First the best levels of its few weightiest terms, until they hold as many documents
+as are wanted: the last of the best partial sums is a score that the top cannot fall below. Then the levels that can still matter:
 those whose highest share plus the highest shares of the query's other terms reach that score. A document in a level that is
 left out cannot reach it, whatever else it holds, so what is returned equals a full scan. Common words beside rare ones skip
 least, as a document may hold both.
@@ -23,6 +23,8 @@ from ..sources.scratch import saved
 from .retrieval import K1, B, _open, allowed, postings, query_terms, ranked
 
 BUCKETS, BLOCK, STEP = 64, 512, 0.125
+#: Terms of a query, those of the highest share, from which the score is taken that the top cannot fall below.
+LEADING = 3
 
 
 def _bucket(buckets: int) -> Column:
@@ -107,16 +109,17 @@ def needed(spark: SparkSession, path: str, queries: DataFrame, depth: int, varia
     levels = read(spark, path, "levels").where(F.col("bucket").isin(buckets)).join(weights, ["bucket", "term"]).join(asked, "query_id").where(_open("topic"))
     levels = saved(levels.select("query_id", "bucket", "term", "topic", "level", "n", "weight", (F.col("weight") * F.col("top")).alias("most")), "levels")
 
+    each = levels.groupBy("query_id", "term").agg(F.max("most").alias("most"))
+    each = each.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "term")))
+    each = each.withColumn("rest", F.sum("most").over(W.partitionBy("query_id")) - F.col("most")).select("query_id", "term", "rest", "place")
+    levels = levels.join(each, ["query_id", "term"])
     best = W.partitionBy("query_id", "term").orderBy(F.desc("most"), "topic", "level")
-    first = levels.withColumn("before", F.sum("n").over(best.rowsBetween(W.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < depth)
-    last = ranked(_scored(spark, path, first, buckets, whole), "bm25", depth, "place", key="key").where(F.col("place") == depth)
+    first = levels.where(F.col("place") <= LEADING).withColumn("before", F.sum("n").over(best.rowsBetween(W.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < depth)
+    last = ranked(_scored(spark, path, first, buckets, whole), "bm25", depth, "at", key="key").where(F.col("at") == depth)
     floor = last.select("query_id", (F.col("bm25") - 2e-6).alias("floor"))  # scores are rounded to six digits
-
-    each = levels.groupBy("query_id", "term").agg(F.max("most").alias("most"))
-    each = each.withColumn("rest", F.sum("most").over(W.partitionBy("query_id")) - F.col("most")).select("query_id", "term", "rest")
     # a negative weight lets a document fall below its partial sums: then all is read
     reach = (F.col("most") + F.col("rest") >= F.coalesce("floor", F.lit(0.0))) | (F.min("weight").over(W.partitionBy("query_id")) < 0)
-    return levels.join(each, ["query_id", "term"]).join(floor, "query_id", "left").withColumn("kept", reach), buckets, asked
+    return levels.join(floor, "query_id", "left").withColumn("kept", reach), buckets, asked
 
 
 def top(spark: SparkSession, path: str, queries: DataFrame, depth: int = 50, key: str = "chunk_id", variant: str = "plus_one") -> DataFrame:

@@ -1050,16 +1050,24 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return w.select("start", "event_type", "n", r6("total", "total"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS series, pos, b FROM ({_EVIDENCE})), o AS (SELECT user_id AS series, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), {_FOLD}
+SELECT series AS user_id, event_id, (list_position(f, list_max(f)) - 1)::INTEGER AS stage, round(list_max(f), 6) AS confidence, false AS late FROM t JOIN o USING (series, pos)""")
 def stream_belief_tracking(spark: SparkSession, d: str) -> DataFrame:
-    """2.13 (extension): the stateful fold, run to the end of the table as a stream."""
-    from ..sources.scratch import new_path
-    from ..streaming.tracking import track
-
-    source = new_path(spark, "events")
-    evidence(spark, d).write.parquet(source)  # all its files are one micro-batch, whose rows the fold sorts
-    stream = spark.readStream.schema(evidence(spark, d).schema).parquet(source)
-    out = new_path(spark, "tracked")
-    run = track(stream.select("user_id", "event_id", "belief")).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(out)
+    """2.13 (extension): the stateful fold on a stream of several batches in any order; what waits at its end is let go when the
+    query is started again from its progress with closing rows."""
+    from ..streaming.tracking import closing, track
+
+    source, out, progress = (new_path(spark, x) for x in ("events", "tracked", "progress"))
+    rows = evidence(spark, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "belief")
+    rows.repartition(12, "event_id").write.parquet(source)
+
+    def run() -> None:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+        tracked = track(stream, delay=10.0**9)  # longer than the table: its batches are samples of all times
+        tracked.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    closing(rows).write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(out).select("user_id", "event_id", "stage", r6("confidence", "confidence"), "late")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.vec import transition_matrix
+from ..operators.temporal import Fold
 from ..schema import N_STAGES
 
 
@@ -19,32 +20,45 @@ def windowed(events: DataFrame, time: str = "ts", kind: str = "event_type", late
     return events.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("window.start", kind, "n", "total")
 
 
-def fuse(last: np.ndarray | None, belief: np.ndarray, matrix: np.ndarray, prior_weight: float = 1.0, evidence_weight: float = 1.0) -> np.ndarray:
-    belief = np.clip(belief, 1e-12, None)
-    belief = belief / belief.sum()
-    if last is None:
-        return belief
-    prior = last @ matrix
-    z = prior_weight * np.log(np.clip(prior / prior.sum(), 1e-9, 1)) + evidence_weight * np.log(np.clip(belief, 1e-9, 1))
-    e = np.exp(z - z.max())
-    return e / e.sum()
+#: The time, in microseconds, of a row that closes a series.
+CLOSED = 1 << 62
 
 
-def track(events: DataFrame, series: str = "user_id", order: str = "event_id", belief: str = "belief") -> DataFrame:
-    """(series, order, stage, confidence): a stateful fold; the state is one belief of six numbers for each series.
+def closing(series: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
+    """Rows of a stream for ``track`` after which nothing of these series waits any more."""
+    none = F.lit(None)
+    return series.select(key).distinct().select(key, F.lit(CLOSED).cast("long").alias("at"), none.cast("long").alias(order), none.cast("array<double>").alias("belief"))
 
-    Rows of one micro-batch are folded in ``order``; a row that comes in a later batch is taken as later.
+
+def track(events: DataFrame, series: str = "user_id", order: str = "event_id", belief: str = "belief", delay: float = 600.0) -> DataFrame:
+    """(series, order, stage, confidence, late): beliefs of a stream fused in event time. ``events``: series, at (microseconds), order, belief.
+
+    A row waits until its series has been seen ``delay`` seconds beyond it, and is then folded in the order (at, order), so batches may
+    come in any order within the delay. A row from before what is folded already is late: it comes out at once with ``late`` and
+    without a stage, and changes nothing. ``closing`` rows let all that waits go. The state of a series is its last
+    belief, its latest time and the rows of the delay that wait, not the series.
     """
-    matrix = np.array(transition_matrix(N_STAGES))
+    step_ = Fold(transition_matrix(N_STAGES))
+    wait = round(delay * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = np.array(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for at, b in zip(rows[order], rows[belief], strict=True):
-            last = fuse(last, np.array(b, dtype=float), matrix)
-            out.append((key[0], at, int(last.argmax()), float(last.max())))
-        state.update((last.tolist(),))
-        yield pd.DataFrame(out, columns=[series, order, "stage", "confidence"])
-
-    return events.groupBy(series).applyInPandasWithState(step, f"{series} long, {order} long, stage int, confidence double", "belief array<double>", "append", GroupStateTimeout.NoTimeout)
+        last, seen, waiting = (list(state.get[0]) or None, state.get[1], json.loads(state.get[2])) if state.exists else (None, -CLOSED, [])
+        closed, out = seen - wait, []
+        for rows in batches:
+            for at, i, b in zip(rows["at"], rows[order], rows[belief], strict=True):
+                seen = max(seen, int(at))
+                if b is None:
+                    continue
+                if at < closed:
+                    out.append((key[0], int(i), None, None, True))
+                else:
+                    waiting.append([int(at), int(i), [float(v) for v in b]])
+        closed = seen - wait
+        for _, i, b in sorted(w for w in waiting if w[0] < closed):
+            last = step_(last, b)
+            out.append((key[0], i, max(range(N_STAGES), key=lambda k: last[k]), max(last), False))
+        state.update((last or [], seen, json.dumps([w for w in waiting if w[0] >= closed])))
+        yield pd.DataFrame(out, columns=[series, order, "stage", "confidence", "late"]).astype({"stage": "Int32", "confidence": "Float64"})
+
+    schema = f"{series} long, {order} long, stage int, confidence double, late boolean"
+    return events.select(series, "at", order, belief).groupBy(series).applyInPandasWithState(step, schema, "belief array<double>, seen long, waiting string", "append", GroupStateTimeout.NoTimeout)
