@@ -213,7 +213,8 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _index(spark: SparkSession, d: str) -> str:
-    """The stored index of the chunks of ``d``, written by the first query of an application that needs it."""
+    """The stored index of the chunks of ``d``, written by the first query of an application that needs it; the tables of a folder are
+    taken as unchanged while the application runs."""
     known = (spark.sparkContext.applicationId, d)
     if known not in _INDEXES:
         _INDEXES[known] = index.build(views.chunks(spark, d), new_path(spark, "index"))

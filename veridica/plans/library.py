@@ -148,12 +148,12 @@ def prediction_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 , s AS (SELECT *, list_position(compat, list_max(compat)) - 1 AS st FROM chunks WHERE list_max(compat) >= 0.8),
-own AS (SELECT st, row_number() OVER (PARTITION BY st ORDER BY authority_score DESC, chunk_id) AS place, chunk_id, NULL AS note FROM s WHERE facet = 'next_stage_action' QUALIFY place <= 20),
+own AS (SELECT st, row_number() OVER (PARTITION BY st ORDER BY authority_score DESC, chunk_id) AS place, chunk_id, NULL::VARCHAR AS note FROM s WHERE facet = 'next_stage_action' QUALIFY place <= 20),
 nxt AS (SELECT st - 1 AS st, row_number() OVER (PARTITION BY st ORDER BY authority_score DESC, chunk_id) AS n, chunk_id FROM s
   WHERE st > 0 AND facet IN ('fertilizer', 'conditions', 'pest_disease_prevention') QUALIFY n <= 8),
 act AS (SELECT * FROM own UNION ALL SELECT st, n + h, chunk_id, 'preview of ' || {list(STAGE_NAMES)}[st + 2] FROM (SELECT *, (SELECT count(*) FROM own WHERE own.st = nxt.st) AS h FROM nxt) WHERE n + h <= 20),
 e AS (SELECT st, 'next_stage_actions' AS bucket, place, chunk_id, note FROM act
-  UNION ALL SELECT st, bucket, place, chunk_id, NULL FROM (SELECT st, CASE WHEN facet IN ('fertilizer', 'conditions', 'pest_disease_prevention') THEN facet ELSE 'general' END AS bucket, chunk_id,
+  UNION ALL SELECT st, bucket, place, chunk_id, NULL::VARCHAR FROM (SELECT st, CASE WHEN facet IN ('fertilizer', 'conditions', 'pest_disease_prevention') THEN facet ELSE 'general' END AS bucket, chunk_id,
     row_number() OVER (PARTITION BY st, CASE WHEN facet IN ('fertilizer', 'conditions', 'pest_disease_prevention') THEN facet ELSE 'general' END ORDER BY authority_score DESC, chunk_id) AS place FROM s) WHERE place <= 20)
 SELECT e.st::INTEGER AS stage_id, e.bucket, count(*)::INTEGER AS items, string_agg(chunk_id || ':' || topic || ':' || authority_score::VARCHAR, '|' ORDER BY place) AS shown, count(note)::INTEGER AS notes, min(note) AS note FROM e JOIN chunks USING (chunk_id) GROUP BY 1, 2""", "chunks")
 def profile_report(spark: SparkSession, d: str) -> DataFrame:
