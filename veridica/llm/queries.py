@@ -92,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: None for 1 to 7 (fingerprints, networks, tokenizers and tries are no SQL); 9 needs positions of matches.
+#: None for 1 to 7 (fingerprints, networks, tokenizers and suffix trees are no SQL); 9 needs positions of matches.
 ORACLE_SQL: dict[str, str] = {
     "op8_systematic_mix": r"""
 WITH d AS (
