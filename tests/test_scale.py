@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veridica.operators import index, neardup, reports, retrieval, segment, temporal
+from veridica.operators import index, neardup, reports, retrieval, segment, stats, temporal
 from veridica.operators.graph import components
 
 # ---------------------------------------------------------------- index
@@ -288,3 +288,19 @@ def test_clustered_report_draws_clusters_and_adjusts(spark):
         assert (r.images, r.scenarios) == (10, 40)
         assert r.diff == pytest.approx(np.mean([value[s, "P"] - value[s, b] for s in range(40)]))
         assert r.low < r.diff < r.high and r.p <= r.p_holm <= min(1, 2 * r.p) + 1e-12
+
+
+# ---------------------------------------------------------------- draws
+
+
+def test_draws_in_arrays_are_those_of_the_expression_and_make_no_row_a_replicate(spark, monkeypatch):
+    monkeypatch.setattr(stats, "DRAWN", 7)
+    rows = [(m, i if i else None, i * 0.5, 1 + i % 3) for i in range(40) for m in ("x", "y")[: 1 + i % 2]]
+    units = spark.createDataFrame(rows, "m string, id long, s double, k long").repartition(3)
+    exploded = units.select("*", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("r")).withColumn("w", stats.weight(42, F.col("r"), F.col("id")))
+    for by in ([], ["m"]):
+        want = exploded.groupBy(*by, "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("k")).alias("k"))
+        drawn = stats.drawn_sums(units, 30, 42, by)
+        got = drawn.groupBy(*by, "r").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "explode" not in drawn._jdf.queryExecution().optimizedPlan().toString()
