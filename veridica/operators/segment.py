@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html.parser
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -151,8 +151,7 @@ def units(rows: DataFrame, lines: str = "lines", least: int = 28, close: int = 4
 
 
 def quality_ok(text: Column, low: int = 28, high: int = 260, distinct: int = 16, boilerplate: tuple[str, ...] = ()) -> Column:
-    w = X.words(text)
-    fine = F.size(w).between(low, high) & (F.size(F.array_distinct(F.transform(w, F.lower))) >= distinct)
+    fine = _once(X.words(text), lambda w: F.size(w).between(low, high) & (F.size(F.array_distinct(F.transform(w, F.lower))) >= distinct))
     for b in boilerplate:
         fine = fine & ~F.contains(F.lower(text), F.lit(b))
     return fine
@@ -160,7 +159,11 @@ def quality_ok(text: Column, low: int = 28, high: int = 260, distinct: int = 16,
 
 def any_term(text: Column, terms: tuple[str, ...]) -> Column:
     """Whether any of the lower-case ``terms`` is in the text."""
-    low, hit = F.lower(text), F.lit(False)
+    return _holds(F.lower(text), terms)
+
+
+def _holds(low: Column, terms: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
     for t in terms:
         hit = hit | F.contains(low, F.lit(t))
     return hit
@@ -183,6 +186,11 @@ def keyword_score(section: Column, text: Column, phrases: tuple[str, ...], bound
 def classify(section: Column, text: Column, lexicon: Lexicon, default: str | None = None, bounded: bool = False) -> Column:
     """The label of highest score, the first declared of equals; ``default`` where all are 0."""
     scored = F.array(*(F.struct(keyword_score(section, text, p, bounded).alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, p) in enumerate(lexicon.items())))
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` evaluated once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
     best = F.array_max(scored)
     return F.when(best["score"] > 0, best["label"]).otherwise(F.lit(default))
 
@@ -220,15 +228,17 @@ def stage_vector(section: Column, text: Column, topic: Column, lexicon: list[tup
 def focused(rows: DataFrame, lexicon: Lexicon, text: str = "text", topic: str = "topic") -> DataFrame:
     """For each label of ``lexicon`` that is not a row's topic: the sentences with a phrase of it, and those beside them,
     distinct and in order, as a derived row of that topic; only snippets of fair quality stay."""
-    s = X.sentences(F.col(text))
+
+    def near(s: Column, hits: Column) -> Column:
+        return F.transform(s, lambda x, i: F.when(F.get(hits, i) | F.coalesce(F.get(hits, i + 1), F.lit(False)) | F.coalesce(F.get(hits, i - 1), F.lit(False)), x))
 
     def snippet(phrases: tuple[str, ...]) -> Column:
-        hits = F.transform("_s", lambda x: any_term(x, phrases))
-        near = F.transform("_s", lambda x, i: F.when(F.get(hits, i) | F.coalesce(F.get(hits, i + 1), F.lit(False)) | F.coalesce(F.get(hits, i - 1), F.lit(False)), x))
-        return X.normalized(F.array_join(F.array_distinct(F.array_compact(near)), " "))
+        # a sentence is searched once, not again for each of its neighbours and theirs
+        hits = F.transform("_s", lambda x: _once(F.lower(x), lambda low: _holds(low, phrases)))
+        return X.normalized(F.array_join(F.array_distinct(F.array_compact(_once(hits, lambda h: near(F.col("_s"), h)))), " "))
 
     options = F.array(*(F.when((F.col(topic) != label) & any_term(F.col(text), p), F.struct(F.lit(label).alias("focus"), snippet(p).alias("snippet"))) for label, p in lexicon.items()))
-    out = rows.withColumn("_s", s).withColumn("_o", F.explode(F.array_compact(options)))
+    out = rows.withColumn("_s", X.sentences(F.col(text))).withColumn("_o", F.explode(F.array_compact(options)))
     return out.withColumn(topic, F.col("_o.focus")).withColumn(text, F.col("_o.snippet")).where(quality_ok(F.col(text))).drop("_s", "_o").withColumn("derived_focus", F.lit(True))
 
 
