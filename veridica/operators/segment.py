@@ -178,44 +178,44 @@ def keyword_score(section: Column, text: Column, phrases: tuple[str, ...], bound
     joined = F.concat_ws(" ", section, F.lower(text))
     out = F.lit(0)
     for p in phrases:
-        n, has = (X.phrase_count(joined, p), X.phrase_count(section, p) > 0) if bounded else (X.substring_count(joined, p), F.contains(section, F.lit(p)))
+        n, has = (X.bounded_count(joined, p), X.bounded_count(section, p) > 0) if bounded else (X.substring_count(joined, p), F.contains(section, F.lit(p)))
         out = out + n * F.when(has, 3).otherwise(1)
     return out
 
 
 def classify(section: Column, text: Column, lexicon: Lexicon, default: str | None = None, bounded: bool = False) -> Column:
     """The label of highest score, the first declared of equals; ``default`` where all are 0."""
-    scored = F.array(*(F.struct(keyword_score(section, text, p, bounded).alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, p) in enumerate(lexicon.items())))
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with ``value`` evaluated once however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, best["label"]).otherwise(F.lit(default))
+    # the default is a label of score 0 that comes first, so scores are counted once and not again for a condition
+    none = F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit(default).cast("string").alias("label"))
+    scored = (F.struct(keyword_score(section, text, p, bounded).alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, p) in enumerate(lexicon.items()))
+    return F.array_max(F.array(*scored, none))["label"]
 
 
 def stage_vector(section: Column, text: Column, topic: Column, lexicon: list[tuple[str, ...]], hints: tuple[str, ...] = (), topics: dict[str, dict[int, int]] | None = None, hint_topic: str = "general_crop_care") -> Column:
     """Compatibility with the stages from the phrases of each: the first of highest score 1, its neighbours NEIGHBOUR, any
     stage that is mentioned MENTIONED at least; nothing found: all UNSTAGED. ``topics``: added scores by topic."""
     boosts = topics if topics is not None else {"harvest_readiness": {5: 4}, "residue_management": {5: 3}, "weed_management": {0: 2, 1: 2}}
-    section = F.coalesce(section, F.lit(""))
-    both = F.concat_ws(" ", section, text)
-    scores, seen = [], []
-    for k in range(N_STAGES):
-        s = F.lit(0)
-        hit = F.lit(False)
-        for p in lexicon[k]:
-            s = s + X.phrase_count(text, p) + 3 * X.phrase_count(section, p)
-            hit = hit | (X.phrase_count(both, p) > 0)
+    section = F.lower(F.coalesce(section, F.lit("")))
+    low = F.lower(text)
+    both = F.concat_ws(" ", section, low)
+    counts = []  # of each stage: score by phrases, and whether it is mentioned
+    for phrases in lexicon[:N_STAGES]:
+        s, hit = F.lit(0), F.lit(False)
+        for p in phrases:
+            n, m = X.bounded_count(low, p), X.bounded_count(section, p)
+            s = s + n + 3 * m
+            # the space between section and text can only be inside a phrase with a space
+            hit = hit | (X.bounded_count(both, p) > 0 if " " in p else (n > 0) | (m > 0))
+        counts.append((s, hit))
+    scores = []
+    for k, (s, _) in enumerate(counts):
         for t, add in boosts.items():
             if k in add:
                 s = s + F.when(topic == t, add[k]).otherwise(0)
         if k == 0 and hints:
             s = s + F.when((topic == hint_topic) & any_term(text, hints), 3).otherwise(0)
         scores.append(s)
-        seen.append(hit)
-    packed = F.struct(F.array(*scores).alias("s"), F.array(*seen).alias("h"))
+    packed = F.struct(F.array(*scores).alias("s"), F.array(*(hit for _, hit in counts)).alias("h"))
 
     def vector(r: Column) -> Column:
         main = F.array_position(r["s"], F.array_max(r["s"])) - 1
