@@ -81,10 +81,20 @@ def html_to_lines(page: str | None) -> list[str]:
     return p.rows
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_lines(pages: pd.Series) -> pd.Series:
+#: Rows that a Python task turns into objects at once; what comes of them is Arrow again before the next, as a batch of whole
+#: pages is many times its size in objects.
+SLICE = 64
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def html_lines(pages: pa.Array) -> pa.Array:
     """A parser has no SQL form; batches pass by Arrow."""
-    return pages.map(html_to_lines)
+    parts = [pa.array([html_to_lines(x) for x in pages.slice(i, SLICE).to_pylist()], pa.list_(pa.string())) for i in range(0, len(pages), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+
+# else a filter on the lines, such as Spark makes for an explode, would parse every page a second time
+html_lines = html_lines.asNondeterministic()
 
 
 def is_heading(line: Column) -> Column:
@@ -138,16 +148,31 @@ def units(rows: DataFrame, lines: str = "lines", least: int = 28, close: int = 4
     or an overfull buffer closes a unit, and so does a full stop once it is long enough; short units are dropped.
 
     The fold is sequential within a document, and an SQL aggregate would copy its growing list each step, so it runs in
-    Arrow batches.
+    Arrow batches, which give the rows themselves: of an array to explode Spark would ask first, by a second parse and fold of
+    every page, whether it is empty.
     """
     flagged = rows.withColumn("_flags", F.transform(lines, is_heading))
-
-    @F.pandas_udf("array<struct<section:string,unit_text:string>>")
-    def fold(ls: pd.Series, flags: pd.Series) -> pd.Series:
-        return pd.Series([[] if a is None else [{"section": s, "unit_text": t} for s, t in _fold(list(zip(a, f, strict=True)), least, close, most)] for a, f in zip(ls, flags, strict=True)])
-
-    out = flagged.withColumn("_u", fold(lines, "_flags")).drop("_flags", lines)
-    return out.select(*(c for c in out.columns if c != "_u"), F.posexplode("_u").alias("position", "_u1")).select("*", "_u1.*").drop("_u1")
+    kept = [c for c in rows.columns if c != lines]
+    flagged = flagged.select(*kept, lines, "_flags")
+    schema = rows.select(*kept).schema
+    for name, kind in (("position", "integer"), ("section", "string"), ("unit_text", "string")):
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                some = batch.slice(i, SLICE)
+                of, found = [], []
+                for k, (a, f) in enumerate(zip(*(c.to_pylist() for c in some.columns[-2:]), strict=True)):
+                    for position, unit in enumerate(_fold(list(zip(a or [], f or [], strict=True)), least, close, most)):
+                        of.append(k)
+                        found.append((position, *unit))
+                position, section, text = zip(*found, strict=True) if found else ((), (), ())
+                made = [pa.array(position, pa.int32()), pa.array(section, pa.string()), pa.array(text, pa.string())]
+                own = [c.take(pa.array(of, pa.int64())) for c in some.columns[:-2]]
+                yield pa.RecordBatch.from_arrays([*own, *made], [*kept, "position", "section", "unit_text"])
+
+    return flagged.mapInArrow(run, schema)
 
 
 def quality_ok(text: Column, low: int = 28, high: int = 260, distinct: int = 16, boilerplate: tuple[str, ...] = ()) -> Column:
