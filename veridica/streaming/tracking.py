@@ -42,23 +42,33 @@ def track(events: DataFrame, series: str = "user_id", order: str = "event_id", b
     wait = round(delay * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, waiting = (list(state.get[0]) or None, state.get[1], json.loads(state.get[2])) if state.exists else (None, -CLOSED, [])
-        closed, out = seen - wait, []
+        # what waits is a line of text a row: a batch that lets nothing go adds its lines and reads none
+        last, seen, oldest, waiting = (list(state.get[0]) or None, *state.get[1:]) if state.exists else (None, -CLOSED, CLOSED, "")
+        closed, out, new = seen - wait, [], []
         for rows in batches:
             for at, i, b in zip(rows["at"], rows[order], rows[belief], strict=True):
                 seen = max(seen, int(at))
                 if b is None:
                     continue
                 if at < closed:
-                    out.append((key[0], int(i), None, None, True))
+                    out.append((int(i), None, None, True))
                 else:
-                    waiting.append([int(at), int(i), [float(v) for v in b]])
+                    oldest = min(oldest, int(at))
+                    new.append(json.dumps([int(at), int(i), [float(v) for v in b]]))
+        waiting = "\n".join([waiting, *new] if waiting else new)
         closed = seen - wait
-        for _, i, b in sorted(w for w in waiting if w[0] < closed):
-            last = step_(last, b)
-            out.append((key[0], i, max(range(N_STAGES), key=lambda k: last[k]), max(last), False))
-        state.update((last or [], seen, json.dumps([w for w in waiting if w[0] >= closed])))
-        yield pd.DataFrame(out, columns=[series, order, "stage", "confidence", "late"]).astype({"stage": "Int32", "confidence": "Float64"})
+        if oldest < closed:
+            held = sorted((json.loads(x), x) for x in waiting.split("\n"))
+            for (at, i, b), _ in held:
+                if at < closed:
+                    last = step_(last, b)
+                    out.append((i, max(range(N_STAGES), key=lambda k: last[k]), max(last), False))
+            held = [h for h in held if h[0][0] >= closed]
+            oldest, waiting = held[0][0][0] if held else CLOSED, "\n".join(x for _, x in held)
+        state.update((last or [], seen, oldest, waiting))
+        if out:
+            ids, stages, confidences, late = zip(*out, strict=True)
+            yield pd.DataFrame({series: [key[0]] * len(out), order: ids, "stage": pd.array(stages, "Int32"), "confidence": pd.array(confidences, "Float64"), "late": late})
 
     schema = f"{series} long, {order} long, stage int, confidence double, late boolean"
-    return events.select(series, "at", order, belief).groupBy(series).applyInPandasWithState(step, schema, "belief array<double>, seen long, waiting string", "append", GroupStateTimeout.NoTimeout)
+    return events.select(series, "at", order, belief).groupBy(series).applyInPandasWithState(step, schema, "belief array<double>, seen long, oldest long, waiting string", "append", GroupStateTimeout.NoTimeout)
