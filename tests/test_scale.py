@@ -304,3 +304,22 @@ def test_draws_in_arrays_are_those_of_the_expression_and_make_no_row_a_replicate
         got = drawn.groupBy(*by, "r").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert "explode" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_end_where_the_links_are_stars(spark, monkeypatch):
+    """Stars take no round; two that meet take as many tables as rounds, and one for the links. Hot nodes change nothing."""
+    from veridica.operators import graph
+
+    made, put = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, what: made.append(what) or put(df, what))
+    stars = [(10 * k, 10 * k + i) for k in range(5) for i in range(1, 8)]
+    df = spark.createDataFrame(stars + stars[:9], "a long, b long")
+    assert {r.node: r.root for r in components(df).collect()} == brute_components([(a, b, 0) for a, b in stars], 0)
+    assert made == ["links"]
+    rng = random.Random(4)
+    links = [(900, i) for i in range(400)] + [(400 + rng.randrange(300), 400 + rng.randrange(300)) for _ in range(200)] + [(950, 399), (950, 960)]
+    want = brute_components([(a, b, 0) for a, b in links if a != b], 0)
+    for few in (3, 256):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = components(spark.createDataFrame(links * 2, "a long, b long")).collect()
+        assert len(got) == len(want) and {r.node: r.root for r in got} == want

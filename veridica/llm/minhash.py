@@ -6,8 +6,8 @@ which took 1,536 of their own. A pair of sets with a share J of common shingles
 collection agrees: with probability (1 - (1 - J**K)**M)**2, which is 0.99998 at 0.8 and grows with J.
 
 Only half keys that two different sets have can make a table with two rows, so the others go first and most texts file no
-table at all. Then table keys are counted and those of one row go. A table of up to ``HEAVY`` sets returns a spanning forest
-of the pairs that differ in at most ``SKETCH`` of the 96 bits that their min-hashes give; the sets of a larger one are all
+table at all. Then table keys are counted and those of one row go. A table of up to ``HEAVY`` sets returns stars
+that connect the pairs that differ in at most ``SKETCH`` of the 96 bits that their min-hashes give; the sets of a larger one are all
 linked to its least by a join, so no task holds a table. Links make groups of candidates, and in a group links are confirmed
 by full sets of shingles, in pieces of bounded size (``simhash.exact_links``).
 """
@@ -72,22 +72,25 @@ def _prints(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _forest(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs whose sketches differ in at most ``radius`` bits."""
+def _stars(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what the pairs connect whose sketches differ in at most ``radius`` bits: to the least of all that hang together."""
     left, found = np.arange(len(ids)), []
     while len(left):
         queue, left = [left[0]], left[1:]
+        own = queue[:]
         while queue and len(left):
             c = queue.pop()
             near = np.bitwise_count(s0[left] ^ s0[c]).astype(np.int64) + np.bitwise_count(s1[left] ^ s1[c]) <= radius
-            found += [(ids[c], ids[k]) for k in left[near]]
+            own += left[near].tolist()
             queue += left[near].tolist()
             left = left[~near]
+        least = ids[own].min()
+        found += [(least, i) for i in ids[own] if i != least]
     return found
 
 
 def _near(radius: int):
-    """Reads (t, id, s0, s1) sorted by t, of bounded tables; returns the links of each table's forest."""
+    """Reads (t, id, s0, s1) sorted by t, of bounded tables; returns links to the least of each table's rows that hang together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # rows of the last table so far
@@ -103,7 +106,7 @@ def _near(radius: int):
             found = []
             for s, e in zip(starts[:done], ends[:done], strict=True):
                 if e - s > 1:
-                    found += _forest(cols[1][s:e], cols[2][s:e].view(np.uint64), cols[3][s:e].view(np.uint64), radius)
+                    found += _stars(cols[1][s:e], cols[2][s:e].view(np.uint64), cols[3][s:e].view(np.uint64), radius)
             held = [c[starts[-1] :] for c in cols]
             both = np.array(found, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -146,7 +149,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "size", "s0", "s1", "halves")).alias("one")
     own = prints.where("n_shingles > 0").groupBy("w1", "w2").agg(one).select("w1", "w2", "one.*")
     own = saved(own.withColumn("id", F.monotonically_increasing_id()), "sets")
-    roots = components(saved(candidates(own, heavy), "candidates")).withColumnRenamed("node", "id")
+    roots = components(candidates(own, heavy)).withColumnRenamed("node", "id")
     some = saved(own.join(roots, "id").select("root", "id", "size", F.col("doc_id").alias("doc"), F.col("h1").alias("k1"), F.col("h2").alias("k2")), "candidates")
     # the row that stands for a set is met by its id and text, so copies of it fall out before they gather anywhere
     same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))

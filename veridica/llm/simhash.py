@@ -389,7 +389,7 @@ def exact_links(texts: DataFrame, words: int, similarity: float, unit: int = UNI
     rest = open_.where("class != main").withColumn("row", part("others")).withColumn("at", every("units")).select(*tile(0))
     all_ = open_.withColumn("at", part("units")).withColumn("row", every("others")).select(*tile(1))
     more = rest.union(all_).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_across(words, similarity), "a long, b long")
-    return found.union(saved(more, "across"))
+    return found.union(more)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, unit: int = UNIT) -> DataFrame:
@@ -417,7 +417,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     near = links(own.select("id", "fp", F.col("fp").alias("chk")), ["fp"])
     banded = own.select(F.posexplode("bands").alias("part", "value"), F.lit(True).alias("own"), "id", F.col("s0").alias("fp"), F.col("s1").alias("chk"))
     met = banded.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_buckets(2, HEAVY, SKETCH, SKETCH, star=True), _FOUND)
-    roots = components(saved(met.select("a", "b").union(near), "candidates")).withColumnRenamed("node", "id")
+    roots = components(met.select("a", "b").union(near)).withColumnRenamed("node", "id")
     some = saved(own.join(roots, "id").select("root", "id", "size", F.col("least.h1").alias("k1"), F.col("least.h2").alias("k2")), "candidates")
     # texts are met by a merge at every size: what a few rows would allow is no plan for many
     texts = docs.select(*keys, F.col(f"`{text}`").alias("text")).dropDuplicates(["h1", "h2"])
