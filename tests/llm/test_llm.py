@@ -4,12 +4,14 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -347,6 +349,36 @@ def test_encoder_equals_the_library(name, byte_level, sf):
     fuzz()
 
 
+@pytest.mark.parametrize(("name", "byte_level"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_keeps_what_it_meets_again(name, byte_level):
+    path = public_tokenizers.path(name)
+    mine, theirs = tokens.Encoder(path, byte_level, kept=300), Tokenizer.from_file(path)
+    for k in range(12):
+        texts = ["common Words, Été! <|x " + " ".join(f"w{k}x{i} Zażółć{i * k}, é{i}" for i in range(40)) for _ in range(2)] + ["common Words, Été!"]
+        ids, sizes = mine.encode([t.encode() for t in texts])
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == theirs.encode(t, add_special_tokens=False).ids
+        assert len(mine.index) == len(mine.sizes) == len(mine.met) <= 300 + 3 * 130
+        assert {u.strip() for u in mine.index} >= {b"common", "Été!".encode()}
+    assert not any(b"w1x" in u for u in mine.index)
+    mine.thin()
+    assert len(mine.index) <= 150
+
+
+def test_packing_holds_little_of_a_batch():
+    """What a worker needs at once beyond its encoder, which it keeps, does not grow with the batch."""
+    known, texts = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False), [b"some words of a text " * 100] * 3000
+    known.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        for _, some in packing.blocks(pa.array(range(len(texts))), iter(texts)):
+            known.encode(some)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_op4_contract(spark, sf):
     theirs = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = queries.op4_power_of_two_packing(spark, sf).orderBy("doc_id", "start").collect()

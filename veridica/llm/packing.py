@@ -22,8 +22,10 @@ from .common import as_bytes
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Bytes of text that are encoded at once.
-BLOCK = 2 << 20
+#: Bytes of text that are encoded at once; the encoder's arrays take some twenty-five times as much.
+BLOCK = 1 << 19
+#: Units that a worker's encoder keeps. A worker also serves the other steps of an application and keeps them meanwhile.
+KEPT = 300_000
 
 
 def pieces(n: int, limit: int) -> list[int]:
@@ -32,14 +34,14 @@ def pieces(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1]
 
 
-def blocks(keys: pa.Array, texts: Iterator[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows in blocks of about ``BLOCK`` bytes; a longer text is a block by itself."""
+def blocks(keys: pa.Array, texts: Iterator[bytes], most: int = BLOCK) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows in blocks of about ``most`` bytes; a longer text ends its block."""
     k, t, size = [], [], 0
     for key, text in zip(keys.to_pylist(), texts, strict=True):
         k.append(key)
         t.append(text)
         size += len(text)
-        if size >= BLOCK:
+        if size >= most:
             yield k, t
             k, t, size = [], [], 0
     if t:
@@ -57,7 +59,7 @@ def pack(docs: DataFrame, tokenizer: str, byte_level: bool, end_id: int, limit:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task, count = encoder(tokenizer, byte_level), TaskContext.get().partitionId(), 0
+        known, task, count = encoder(tokenizer, byte_level, KEPT), TaskContext.get().partitionId(), 0
         for batch in batches:
             for keys, texts in blocks(batch.column(0), as_bytes(batch.column(1))):
                 ids, lengths = known.encode(texts)

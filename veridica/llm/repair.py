@@ -36,6 +36,8 @@ from .packing import blocks
 from .tokens import encoder, gather
 
 SHARD, LEAST = 1 << 21, 16
+#: Bytes of text that are encoded at once.
+BLOCK = 2 << 20
 MAGIC = b"RPG1"
 TABLE = "task long, part long, before long, n_ids long, image binary"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -230,7 +232,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, byte_level: bool, end_id:
             return pa.RecordBatch.from_arrays(row, [x.split()[0] for x in TABLE.split(", ")])
 
         for batch in batches:
-            for ids_of, texts in blocks(batch.column(0), as_bytes(batch.column(1))):
+            for ids_of, texts in blocks(batch.column(0), as_bytes(batch.column(1)), BLOCK):
                 ids, lengths = known.encode(texts)
                 out = np.insert(ids, np.cumsum(lengths), end_id)
                 keys += ids_of

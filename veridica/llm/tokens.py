@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer never merges: at ASCII white space. The units of a block of texts are
 found and told apart by array operations; each distinct unit is encoded once by the library and kept, so
-that a text is a sequence of look-ups. A text in which a cut could matter (other white space next to it,
+that a text is a sequence of look-ups. What is kept is bounded: when it is full, units that came once go, those met most
+stay. A text in which a cut could matter (other white space next to it,
 or the string of a special token) goes to the library whole.
 """
 
@@ -74,24 +75,37 @@ def units(texts: list[bytes], byte_level: bool) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """``byte_level``: white space is kept in tokens (else it only separates them)."""
+    """``byte_level``: white space is kept in tokens (else it only separates them). ``kept``: units held from call to call."""
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
+        self.tokenizer, self.byte_level, self.kept = Tokenizer.from_file(path), byte_level, kept
         self.mark = self.tokenizer.token_to_id(MARK.decode())
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), 0
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int32)
+
+    def thin(self) -> None:
+        """Of the units met in two calls or more since the last time those met most stay, at most half of ``kept``."""
+        most = np.argsort(-self.met, kind="stable")[: self.kept // 2]
+        stays = np.zeros(len(self.met), dtype=bool)
+        stays[most] = self.met[most] > 1
+        left = {u: k for u, k in self.index.items() if stays[k]}
+        at = np.fromiter(left.values(), dtype=np.int64, count=len(left))
+        sizes = self.sizes[at]
+        flat = gather(self.flat, self.starts[at], sizes)
+        self.forget()
+        self._keep(list(left), flat, sizes)
 
     def _library(self, text: bytes) -> np.ndarray:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return np.array(encode([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.int64)
+        return np.array(encode([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.int32)
 
     def _keep(self, units: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.index.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units)), strict=True))
@@ -100,6 +114,7 @@ class Encoder:
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.ones(len(sizes), dtype=np.int32)])
         self.used += len(flat)
 
     def _model(self, letters: list[bytes]) -> list[list[int]]:
@@ -128,7 +143,7 @@ class Encoder:
         new = [u for u in letters if u not in self.index]
         if new:
             ids = self._model(new)
-            self._keep(new, np.array([x for own in ids for x in own], dtype=np.int64), np.array([len(own) for own in ids]))
+            self._keep(new, np.array([x for own in ids for x in own], dtype=np.int32), np.array([len(own) for own in ids]))
         new = [u for u in others if u not in self.index]
         for lo in range(0, len(new), 1 << 12):
             part = new[lo : lo + (1 << 12)]
@@ -137,15 +152,15 @@ class Encoder:
             self._keep(part, ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)
         if pairs:
             if b"" not in self.index:
-                self._keep([b""], np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+                self._keep([b""], np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
             both = np.fromiter((self.index[x] for p in zip(heads, tails, strict=True) for x in p), dtype=np.int64, count=2 * len(pairs))
             sizes = self.sizes[both]
             self._keep(pairs, gather(self.flat, self.starts[both], sizes), sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids of each text)."""
-        if len(self.index) > KEPT:
-            self.forget()
+        if len(self.index) > self.kept:
+            self.thin()
         whole = {i: self._library(t) for i, t in enumerate(texts) if any(m in t for m in _HINTS) and _ODD.search(t)}
         parts, counts = units([b"" if i in whole else t for i, t in enumerate(texts)] if whole else texts, self.byte_level)
         told = parts.dictionary_encode()
@@ -153,6 +168,7 @@ class Encoder:
         bounds, raw = np.frombuffer(bounds, np.int32, len(told.dictionary) + 1).tolist() if len(parts) else [0], data.to_pybytes() if data else b""
         distinct = [raw[a:b] for a, b in pairwise(bounds)]
         found = np.fromiter(map(self.index.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        self.met[found[found >= 0]] += 1
         if len(late := np.flatnonzero(found < 0)):
             new = [distinct[k] for k in late.tolist()]
             self._learn(new)
@@ -169,6 +185,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool) -> Encoder:
+def encoder(path: str, byte_level: bool, kept: int = KEPT) -> Encoder:
     """One for each Python worker, which keeps it from task to task."""
-    return Encoder(path, byte_level)
+    return Encoder(path, byte_level, kept)
